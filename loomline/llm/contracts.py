@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomline.llm.jaccard_join import similar_documents
 from loomline.llm.substring_dedup import repeated_windows
 from loomline.sources.tables import table
 
@@ -12,6 +13,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows(table(spark, sf_dir, "documents"), width=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 QUERIES: dict = {
     "op3_substring_dedup": (op3_substring_dedup, None),
+    "op5_ngram_jaccard_join": (op5_ngram_jaccard_join, None),
 }
