@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm.jaccard_join import similar_documents
 from loomline.llm.substring_dedup import repeated_windows
+from loomline.llm.token_files import read_digests, scratch_folder, write_tokens
 from loomline.sources.tables import table
 
 
@@ -17,7 +19,14 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark)
+    write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=2)
+    return read_digests(spark, folder)
+
+
 QUERIES: dict = {
     "op3_substring_dedup": (op3_substring_dedup, None),
     "op5_ngram_jaccard_join": (op5_ngram_jaccard_join, None),
+    "op9_token_output": (op9_token_output, None),
 }
