@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from loomline.llm.decontaminate import find_leaks
 from loomline.llm.jaccard_join import similar_documents
 from loomline.llm.substring_dedup import repeated_windows
 from loomline.llm.token_files import read_digests, scratch_folder, write_tokens
@@ -19,6 +20,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=8, min_items=2)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark)
     write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=2)
@@ -28,5 +34,6 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict = {
     "op3_substring_dedup": (op3_substring_dedup, None),
     "op5_ngram_jaccard_join": (op5_ngram_jaccard_join, None),
+    "op6_decontamination": (op6_decontamination, None),
     "op9_token_output": (op9_token_output, None),
 }
