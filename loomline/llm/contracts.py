@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from loomline.llm import mixing
 from loomline.llm.decontaminate import find_leaks
 from loomline.llm.jaccard_join import similar_documents
 from loomline.llm.substring_dedup import repeated_windows
@@ -25,6 +26,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark)
     write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=2)
@@ -35,5 +41,6 @@ QUERIES: dict = {
     "op3_substring_dedup": (op3_substring_dedup, None),
     "op5_ngram_jaccard_join": (op5_ngram_jaccard_join, None),
     "op6_decontamination": (op6_decontamination, None),
+    "op7_mixing": (op7_mixing, mixing.SQL),
     "op9_token_output": (op9_token_output, None),
 }
