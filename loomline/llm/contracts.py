@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomline.llm import mixing
 from loomline.llm.decontaminate import find_leaks
 from loomline.llm.jaccard_join import similar_documents
+from loomline.llm.sharding import shard_documents
 from loomline.llm.substring_dedup import repeated_windows
 from loomline.llm.token_files import read_digests, scratch_folder, write_tokens
 from loomline.sources.tables import table
@@ -17,6 +18,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows(table(spark, sf_dir, "documents"), width=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), width=5, percent=80)
 
@@ -39,6 +44,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict = {
     "op3_substring_dedup": (op3_substring_dedup, None),
+    "op4_sharding": (op4_sharding, None),
     "op5_ngram_jaccard_join": (op5_ngram_jaccard_join, None),
     "op6_decontamination": (op6_decontamination, None),
     "op7_mixing": (op7_mixing, mixing.SQL),
