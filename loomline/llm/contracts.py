@@ -11,6 +11,7 @@ from loomline.llm.jaccard_join import similar_documents
 from loomline.llm.sharding import shard_documents
 from loomline.llm.substring_dedup import repeated_windows
 from loomline.llm.token_files import read_digests, scratch_folder, write_tokens
+from loomline.llm.toxicity import score_toxicity
 from loomline.sources.tables import table
 
 
@@ -42,6 +43,11 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, folder)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict = {
     "op3_substring_dedup": (op3_substring_dedup, None),
     "op4_sharding": (op4_sharding, None),
@@ -49,4 +55,5 @@ QUERIES: dict = {
     "op6_decontamination": (op6_decontamination, None),
     "op7_mixing": (op7_mixing, mixing.SQL),
     "op9_token_output": (op9_token_output, None),
+    "op10_toxicity": (op10_toxicity, None),
 }

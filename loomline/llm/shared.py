@@ -91,12 +91,16 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word [^\\x20\\x09-\\x0D]+ and, for each text, where its words begin in that array."""
+def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """A 64-bit hash of every word [^\\x20\\x09-\\x0D]+ and, for each text, where its words begin in that array.
+
+    Another table of bytes that part words may be given; for each number in `prefixes`, hashes of the words' first bytes follow.
+    """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    solid = ~_SPACE[data]
+        none = np.zeros(0, np.uint64)
+        return (none, np.zeros(len(bounds), np.int64), *[none for _ in prefixes])
+    solid = ~space[data]
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
@@ -109,7 +113,12 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tu
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
     hashes = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * np.uint64(SECOND_BASE))
-    return hashes, np.searchsorted(first, bounds)
+    at = np.searchsorted(first, bounds)
+    stems = []
+    for k in prefixes:
+        cut = np.minimum(first + k, last)
+        stems.append(mix((sums[cut] - sums[first]) * down[first] + (cut - first).astype(np.uint64) * np.uint64(SECOND_BASE)))
+    return (hashes, at, *stems)
 
 
 def window_hashes(words: np.ndarray, width: int, base: int = WORD_BASE) -> np.ndarray:
