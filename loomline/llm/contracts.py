@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomline.llm import mixing
 from loomline.llm.decontaminate import find_leaks
 from loomline.llm.jaccard_join import similar_documents
+from loomline.llm.neighbours import nearest
 from loomline.llm.sharding import shard_documents
 from loomline.llm.substring_dedup import repeated_windows
 from loomline.llm.token_files import read_digests, scratch_folder, write_tokens
@@ -37,6 +38,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark)
     write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=2)
@@ -54,6 +59,7 @@ QUERIES: dict = {
     "op5_ngram_jaccard_join": (op5_ngram_jaccard_join, None),
     "op6_decontamination": (op6_decontamination, None),
     "op7_mixing": (op7_mixing, mixing.SQL),
+    "op8_neighbours": (op8_neighbours, None),
     "op9_token_output": (op9_token_output, None),
     "op10_toxicity": (op10_toxicity, None),
 }
