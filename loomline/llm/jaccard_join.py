@@ -22,7 +22,7 @@ components is left: no link between different components is lost, and none insid
 from __future__ import annotations
 
 from functools import lru_cache
-from math import exp
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +69,16 @@ class Similarity:
         return 100 * common >= self.percent * union
 
 
+def _expected(m: int, sizes: np.ndarray, worst: np.ndarray) -> float:
+    """Expected signatures of sets of those sizes, all together, with m segments: empty ones are about Poisson."""
+    total = 0.0
+    for n, h in zip(sizes.tolist(), worst.tolist(), strict=True):
+        mean, k = m * exp(-n / m), np.arange(m - h)
+        enough = np.exp(k * log(mean) - mean - np.concatenate(([0.0], np.cumsum(np.log(k[1:]))))).sum()
+        total += m + max(0.0, 1 - enough) * (n + m)
+    return total
+
+
 @lru_cache(maxsize=4)
 def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First size, last size and number of segments of each band, up to the one that holds sets of that size."""
@@ -76,20 +86,10 @@ def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     while not out or out[-1][1] < most:
         high = max(low, int(low * BAND_GROWTH))
         least = law.differences(2 * high) + 1
-        sizes = sorted({low, (3 * low + high) // 4, (low + high) // 2, (low + 3 * high) // 4, high})
-
-        def cost(m: int, low: int = low, high: int = high, sizes: list[int] = sizes) -> float:
-            total = 0.0
-            for n in sizes:
-                spare, mean = m - 1 - law.differences(n + min(high, law.largest_partner(n))), m * exp(-n / m)
-                term = short = exp(-mean)
-                for k in range(1, spare + 1):
-                    term *= mean / k
-                    short += term
-                total += m + max(0.0, 1 - short) * (n + m)
-            return total
-
-        out.append((low, high, min(range(least, least + 9 + least // 4), key=cost)))
+        sizes = np.unique([low, (3 * low + high) // 4, (low + high) // 2, (low + 3 * high) // 4, high])
+        worst = law.differences(sizes + np.minimum(high, law.largest_partner(sizes)))
+        spare = np.unique(np.concatenate((np.arange(8), np.geomspace(8, max(9, least // 4 + 8), 24).astype(np.int64))))
+        out.append((low, high, int(min(least + spare, key=lambda m: _expected(int(m), sizes, worst)))))
         low = high + 1
     return tuple(np.array(x, dtype=np.int64) for x in zip(*out, strict=True))
 
