@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import mixing
+from loomline.llm import chat, mixing
 from loomline.llm.decontaminate import find_leaks
 from loomline.llm.jaccard_join import similar_documents
 from loomline.llm.neighbours import nearest
@@ -54,6 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict = {
+    "op1_chat_formatting": (chat.chat_records, chat.SQL),
     "op3_substring_dedup": (op3_substring_dedup, None),
     "op4_sharding": (op4_sharding, None),
     "op5_ngram_jaccard_join": (op5_ngram_jaccard_join, None),
