@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomline.llm import chat, mixing
 from loomline.llm.decontaminate import find_leaks
 from loomline.llm.jaccard_join import similar_documents
+from loomline.llm.line_dedup import near_lines
 from loomline.llm.neighbours import nearest
 from loomline.llm.sharding import shard_documents
 from loomline.llm.substring_dedup import repeated_windows
@@ -20,6 +21,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows(table(spark, sf_dir, "documents"), width=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_lines(table(spark, sf_dir, "documents"), percent=80)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -55,6 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict = {
     "op1_chat_formatting": (chat.chat_records, chat.SQL),
+    "op2_line_dedup": (op2_line_dedup, None),
     "op3_substring_dedup": (op3_substring_dedup, None),
     "op4_sharding": (op4_sharding, None),
     "op5_ngram_jaccard_join": (op5_ngram_jaccard_join, None),
