@@ -18,6 +18,8 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ BLOCK_IDS = 1 << 14
 #: Ids in a segment, at least one document; bounds the memory of writers and readers, save for one longer document.
 SEGMENT_IDS = 1 << 20
 #: Pieces of text whose ids a worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 700_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -94,39 +96,39 @@ class Segment:
 
 
 class WordEncoder:
-    """Encodes texts by a byte-level tokenizer whose pieces never span ASCII white space, end in a word-end mark and are
-    cut at letters; it lower-cases. Keeps the ids of the words that it has met.
+    """Encodes texts by a byte-level tokenizer whose pieces never span ASCII white space and are cut at letters; it
+    lower-cases. Keeps the ids of the words that it has met.
 
-    A new word that is a run of letters, then of plain marks, is two pieces; all new pieces are encoded in one call and
-    told apart by the word-end marks. Any other word is encoded by itself.
+    A new word that is a run of letters, then of plain marks, is two pieces: new pieces are normalised and spelt in
+    bytes together, then given to the model one by one. Any other word is encoded by itself.
     """
 
     #: Marks that cut a word from what follows it and take no part in a longer rule.
     MARKS = '!"#$%&()*+,-./:;=?@[]^_`{}~'
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), cache_words
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
+        self.tokenize = self.tokenizer.model.tokenize
+        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._clear()
 
     def _clear(self) -> None:
-        self.number, self.lengths, self.flat, self.pieces = {}, [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], {}
+        self.number, self.lengths, self.flat, self.pieces = {b"": 0}, [np.ones(1, np.int64)], [np.zeros(1, np.uint32)], {}
+        self.begins = np.zeros(1, np.int64)
 
     def _alone(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
 
     def _learn(self, pieces: list[str]) -> None:
+        """Letters or marks only: each piece stays whole, so the model takes it without searching for cuts."""
         pieces = [x for x in dict.fromkeys(pieces) if x not in self.pieces]
-        for k in range(0, len(pieces), 2000):
-            some = pieces[k : k + 2000]
-            ids = self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) == len(some) and stops[-1] == len(ids):
-                self.pieces.update((x, ids[a:b]) for x, a, b in zip(some, [0, *stops], stops, strict=False))
+        for k in range(0, len(pieces), 5000):
+            some = pieces[k : k + 5000]
+            spelt = self.byte_level.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(" ".join(some)))[0][0].split("Ġ")
+            if len(spelt) == len(some):
+                self.pieces.update((x, [t.id for t in self.tokenize(y)]) for x, y in zip(some, spelt, strict=True))
             else:
                 self.pieces.update(zip(some, self._alone(some), strict=True))
 
@@ -153,26 +155,32 @@ class WordEncoder:
         if len(self.number) > self.limit:
             self._clear()
         number = self.number
-        fresh = list(dict.fromkeys(w for x in words for w in x if w not in number))
+        fresh = list(set().union(*words).difference(number))
         if fresh:
             got = self._encoded(fresh)
             number.update(zip(fresh, range(len(number), len(number) + len(fresh)), strict=True))
             self.lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
-            self.flat.append(np.fromiter((i for x in got for i in x), np.uint32))
-            if len(self.flat) > 16:
-                self.lengths, self.flat = [np.concatenate(self.lengths)], [np.concatenate(self.flat)]
-        lengths, flat = np.concatenate(self.lengths), np.concatenate(self.flat)
-        begins = np.cumsum(lengths) - lengths
-        lengths, begins = np.append(lengths, 1), np.append(begins, len(flat))
-        flat, end = np.append(flat, np.uint32(end_id)), len(number)
-        which = np.fromiter((k for x in words for k in (*map(number.__getitem__, x), end)), np.int64)
+            self.flat.append(np.fromiter(chain.from_iterable(got), np.uint32))
+        if len(self.flat) > 1:
+            self.lengths, self.flat = [np.concatenate(self.lengths)], [np.concatenate(self.flat)]
+            self.begins = np.cumsum(self.lengths[0]) - self.lengths[0]
+        lengths, begins, flat = self.lengths[0], self.begins, self.flat[0]
+        # number 0 is the end of a text
+        which = np.fromiter(chain.from_iterable(chain(map(number.__getitem__, x), (0,)) for x in words), np.int64)
         n = lengths[which]
         stop = np.cumsum(n)
         ids = flat[np.repeat(begins[which] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+        ids[stop[np.flatnonzero(which == 0)] - 1] = end_id
         last = np.cumsum([len(x) + 1 for x in words]) if words else np.zeros(0, np.int64)
         return ids, np.diff(np.concatenate(([0], stop[last - 1]))) if words else last
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which keeps what it learnt from task to task."""
+    return WordEncoder(path)
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary: int, end_id: int, text: str = "text", doc_id: str = "doc_id", segment_ids: int = SEGMENT_IDS) -> None:
     """Write the ids of all documents, in ascending order of their id, as segments in that folder.
 
@@ -188,7 +196,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary:
     id_type = rows.schema["doc_id"].dataType
 
     def encode(batches):
-        encoder, part, number, held, ids = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0, [], []
+        encoder, part, number, held, ids = worker_encoder(tokenizer_path), TaskContext.get().partitionId(), 0, [], []
 
         def segment():
             nonlocal number, held, ids
