@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.plans import retrieval
+from loomline.plans import retrieval, texts
 
-MODULES: tuple = (retrieval,)
+MODULES: tuple = (retrieval, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
