@@ -166,8 +166,9 @@ def focus_terms(question: Column) -> Column:
 
 
 def focus_ngrams(question: Column, n: int = 2) -> Column:
-    words = focus_list(question)
-    return F.when(F.size(words) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    joined = lambda words: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " ")))
+    return X.let(focus_list(question), lambda words: F.when(F.size(words) >= n, joined(words)).otherwise(none))
 
 
 def person_in_question(question: Column) -> Column:
@@ -216,6 +217,9 @@ def query_variants(question: Column) -> Column:
     ]
     made = F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(X.collapse(value).alias("text"), F.lit(weight).alias("weight"))) for test, value, weight in options])
     made = F.filter(made, lambda v: v.isNotNull() & (v["text"] != ""))
-    keys = F.transform(made, lambda v: F.lower(v["text"]))
-    first = F.filter(made, lambda v, i: F.array_position(keys, F.lower(v["text"])) == i + 1)
-    return F.transform(F.slice(first, 1, 6), lambda v, i: F.struct(v["text"].alias("text"), v["weight"].alias("weight"), i.alias("pos")))
+
+    def distinct(v: Column) -> Column:
+        first = F.filter(v["made"], lambda x, i: F.array_position(v["keys"], F.lower(x["text"])) == i + 1)
+        return F.transform(F.slice(first, 1, 6), lambda x, i: F.struct(x["text"].alias("text"), x["weight"].alias("weight"), i.alias("pos")))
+
+    return X.let(made, lambda m: X.let(F.struct(m.alias("made"), F.transform(m, lambda x: F.lower(x["text"])).alias("keys")), distinct))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ CURLY, PLAIN = "‘’“”–— \u0000", "''\"\"--  "
 DEGREES = ((r"(?i)\bM\s*\.?\s*Eng\b(?:\.)?", "M.Eng."), (r"(?i)\bM\s*\.?\s*S\b(?:\.)?", "M.S."), (r"(?i)\bB\s*\.?\s*S\b(?:\.)?", "B.S."), (r"(?i)\bB\s*\.?\s*A\b(?:\.)?", "B.A."))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for a row, also where lambdas within refer to it again and again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(text: Column) -> Column:
     """Runs of a-z and 0-9 of the lower-cased text."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
@@ -83,8 +90,8 @@ def title_words(title: Column, text: Column) -> Column:
 
 def title_case(text: Column) -> Column:
     """Capital after anything that isn't a letter, small letters otherwise."""
-    low = F.split(F.lower(text), "")
-    return F.array_join(F.transform(low, lambda c, i: F.when((i > 0) & F.coalesce(F.get(low, i - 1), F.lit("")).rlike(r"^\p{L}$"), c).otherwise(F.upper(c))), "")
+    after_letter = lambda low, i: (i > 0) & F.coalesce(F.get(low, i - 1), F.lit("")).rlike(r"^\p{L}$")
+    return let(F.split(F.lower(text), ""), lambda low: F.array_join(F.transform(low, lambda c, i: F.when(after_letter(low, i), c).otherwise(F.upper(c))), ""))
 
 
 def preview(text: Column, limit: int = 260) -> Column:
@@ -114,14 +121,18 @@ def degree_text(text: Column) -> Column:
 
 def matches(text: Column, pattern: str) -> Column:
     """All matches as array<struct<hit, start>>, start counting characters from 0; the pattern has no group that captures."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), 0)
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<hit:string,start:int>>").alias("out"))
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(hits, i))).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(F.get(hits, i).alias("hit"), (acc["at"] + F.length(F.get(gaps, i))).alias("start")))).alias("out"),
-    )
-    return F.when(F.size(hits) == 0, F.array().cast("array<struct<hit:string,start:int>>")).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(hits) - 1, F.lit(0))), zero, step, lambda acc: acc["out"]))
+    none = F.array().cast("array<struct<hit:string,start:int>>")
+
+    def walk(v: Column) -> Column:
+        hits, gaps = v["hits"], v["gaps"]
+        step = lambda acc, i: F.struct(
+            (acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(hits, i))).alias("at"),
+            F.concat(acc["out"], F.array(F.struct(F.get(hits, i).alias("hit"), (acc["at"] + F.length(F.get(gaps, i))).alias("start")))).alias("out"),
+        )
+        found = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(hits) - 1, F.lit(0))), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        return F.when(F.size(hits) == 0, none).otherwise(found)
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("hits"), F.split(text, pattern, -1).alias("gaps")), walk)
 
 
 def context(text: Column, start: Column, length: Column, radius: int = 90) -> Column:

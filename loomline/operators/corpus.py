@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -51,8 +51,9 @@ def chunk_dedup(chunks: DataFrame, url: str = "url", text: str = "text", order:
 
 def word_windows(text: Column, size: int = 140, overlap: int = 30) -> Column:
     """Windows of words at steps of size - overlap; the last may lie within the one before."""
-    words, step = X.words(text), max(1, size - overlap)
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(step)), lambda i: F.array_join(F.slice(words, i + 1, size), " ")))
+    step, none = max(1, size - overlap), F.array().cast("array<string>")
+    cut = lambda words: F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(step)), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
+    return X.let(X.words(text), lambda words: F.when(F.size(words) == 0, none).otherwise(cut(words)))
 
 
 def word_chunks(docs: DataFrame, text: str = "text", size: int = 140, overlap: int = 30) -> DataFrame:
@@ -63,9 +64,11 @@ def word_chunks(docs: DataFrame, text: str = "text", size: int = 140, overlap: i
 
 def strip_navigation(text: Column, markers: tuple[str, ...]) -> Column:
     """Cut at each marker whose first occurrence is far enough in."""
+    def cut(marker: str) -> Callable[[Column], Column]:
+        return lambda t: F.when(F.locate(marker, t) > NAVIGATION_OFFSET, F.regexp_replace(F.substring(t, F.lit(1), F.locate(marker, t) - 1), r"(?U)\s+$", "")).otherwise(t)
+
     for marker in markers:
-        at = F.locate(marker, text)
-        text = F.when(at > NAVIGATION_OFFSET, F.regexp_replace(F.substring(text, F.lit(1), at - 1), r"(?U)\s+$", "")).otherwise(text)
+        text = X.let(text, cut(marker))
     return text
 
 
@@ -91,8 +94,8 @@ def is_noise(sentence: Column) -> Column:
 
 def distinct_sentences(items: Column) -> Column:
     """First of each sentence without regard to case, in order."""
-    keys = F.transform(items, lambda s: F.lower(s))
-    return F.filter(items, lambda s, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    first = lambda v: F.filter(v["items"], lambda s, i: F.array_position(v["keys"], F.get(v["keys"], i)) == i + 1)
+    return X.let(items, lambda it: X.let(F.struct(it.alias("items"), F.transform(it, lambda s: F.lower(s)).alias("keys")), first))
 
 
 def clean_documents(docs: DataFrame, site: R.SiteRules | None = None, min_chars: int = 80) -> DataFrame:

@@ -17,11 +17,14 @@ def exact_match(prediction: Column, gold: Column) -> Column:
 
 def token_f1(prediction: Column, gold: Column) -> Column:
     """F1 of token multisets: 1 if both are empty, 0 if one is."""
-    p, g = X.words(X.normalize_answer(prediction)), X.words(X.normalize_answer(gold))
     count = lambda items, x: F.size(F.filter(items, lambda y: y == x))
-    common = F.aggregate(F.array_intersect(p, g), F.lit(0), lambda acc, x: acc + F.least(count(p, x), count(g, x)))
-    both = F.size(p) + F.size(g)
-    return F.when(both == 0, 1.0).otherwise(2.0 * common / both)
+
+    def f1(v: Column) -> Column:
+        p, g = v["p"], v["g"]
+        common = F.aggregate(F.array_intersect(p, g), F.lit(0), lambda acc, x: acc + F.least(count(p, x), count(g, x)))
+        return F.when(F.size(p) + F.size(g) == 0, 1.0).otherwise(2.0 * common / (F.size(p) + F.size(g)))
+
+    return X.let(F.struct(X.words(X.normalize_answer(prediction)).alias("p"), X.words(X.normalize_answer(gold)).alias("g")), f1)
 
 
 def best_of_gold(metric: Callable[[Column, Column], Column], prediction: Column, gold: Column) -> Column:

@@ -20,11 +20,14 @@ def last_by_key(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFra
 
 def pick_known(question: Column, field: Column) -> Column:
     """A yes or no among the alternatives of a yes/no question, else the shortest by words, then letters; first on ties."""
-    options = X.answer_options(field)
-    yes_no = F.filter(options, lambda o: F.lower(o).isin("yes", "no"))
-    ranked = F.transform(options, lambda o, i: F.struct(X.n_words(o).alias("w"), F.length(o).alias("n"), i.alias("i"), o.alias("o")))
-    shortest = F.coalesce(F.array_min(ranked)["o"], F.lit("unknown"))
-    return F.when(F.array_contains(R.question_types(question), "yesno") & (F.size(yes_no) > 0), F.initcap(F.get(yes_no, F.lit(0)))).otherwise(shortest)
+    asks = F.array_contains(R.question_types(question), "yesno")
+
+    def pick(options: Column) -> Column:
+        yes_no = F.get(F.filter(options, lambda o: F.lower(o).isin("yes", "no")), F.lit(0))
+        ranked = F.transform(options, lambda o, i: F.struct(X.n_words(o).alias("w"), F.length(o).alias("n"), i.alias("i"), o.alias("o")))
+        return F.when(asks & yes_no.isNotNull(), F.initcap(yes_no)).otherwise(F.coalesce(F.array_min(ranked)["o"], F.lit("unknown")))
+
+    return X.let(X.answer_options(field), pick)
 
 
 def known_answers(questions: DataFrame, known: DataFrame) -> DataFrame:

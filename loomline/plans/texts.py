@@ -94,7 +94,7 @@ QUERIES = {
     "infer_title_words": (over("documents", lambda: [C("doc_id"), X.title_words(F.lit(" "), C("text")).alias("title")]), f"SELECT doc_id, array_to_string(({sql_words(chr(39).join(['regexp_split_to_array(text, ', '[.!?]', ')[1]']))})[1:16], ' ') AS title FROM documents"),
     "preview_text": (over("documents", lambda: [C("doc_id"), X.preview(C("text")).alias("preview")]), f"SELECT doc_id, CASE WHEN length({sql_collapse('text')}) <= 260 THEN {sql_collapse('text')} ELSE rtrim(substr({sql_collapse('text')}, 1, 257)) || '...' END AS preview FROM documents"),
     "yes_no": (over("documents", lambda: [C("doc_id"), X.yes_no(F.concat_ws(" ", F.get(F.array(*[F.lit(x) for x in ("Yes", "that does not", "maybe", "without it")]), F.pmod(C("doc_id"), F.lit(4)).cast("int")), F.substring("text", 1, 50))).alias("answer")]), "SELECT doc_id, CASE WHEN " + " OR ".join(f"contains(p, '{c}')" for c in X.NEGATIVE_CUES) + " THEN 'No' WHEN contains(p, ' yes ') THEN 'Yes' END AS answer FROM (SELECT doc_id, ' ' || lower(['Yes', 'that does not', 'maybe', 'without it'][(doc_id % 4 + 1)::INT] || ' ' || substr(text, 1, 50)) || ' ' AS p FROM documents)"),
-    "course_and_degree": (over("documents", lambda: [C("doc_id"), X.course_code(F.concat(F.lit("cs - "), F.pmod(C("doc_id"), F.lit(1000)).cast("string"), F.lit("b"))).alias("course"), X.degree_text(F.concat(F.lit("the M S or b.a. "), C("doc_id").cast("string"))).alias("degree")]), "SELECT doc_id, 'CS ' || (doc_id % 1000) || 'B' AS course, 'the M.S. or B.A. ' || doc_id AS degree FROM documents"),
+    "course_and_degree": (over("documents", lambda: [C("doc_id"), X.course_code(F.concat(F.lit("cs - "), F.pmod(C("doc_id"), F.lit(1000)).cast("string"), F.lit("B"))).alias("course"), X.degree_text(F.concat(F.lit("the M S or b.a. "), C("doc_id").cast("string"))).alias("degree")]), "SELECT doc_id, 'CS ' || (doc_id % 1000) || 'B' AS course, 'the M.S. or B.A. ' || doc_id AS degree FROM documents"),
     "question_types": (over("documents", lambda: [C("doc_id"), F.array_join(R.question_types(C("text")), ",").alias("types")]), f"SELECT doc_id, array_to_string({sql_types('text')}, ',') AS types FROM documents"),
     "focus_terms": (over("benchmark", lambda: [C("item_id"), F.array_join(F.array_sort(R.focus_terms(C("text"))), " ").alias("terms"), F.array_join(R.focus_list(C("text")), " ").alias("in_order")]), f"SELECT item_id, array_to_string(list_sort(list_distinct({FOCUS})), ' ') AS terms, array_to_string({FOCUS}, ' ') AS in_order FROM benchmark"),
     "focus_bigrams": (over("benchmark", lambda: [C("item_id"), F.explode(R.focus_ngrams(C("text"))).alias("bigram")]), f"SELECT DISTINCT item_id, f[i] || ' ' || f[i + 1] AS bigram FROM (SELECT item_id, f, unnest(range(1, len(f))) AS i FROM (SELECT item_id, {FOCUS} AS f FROM benchmark))"),
