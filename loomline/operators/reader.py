@@ -80,9 +80,9 @@ def relation_candidates(question: Column, span: Column, relations: tuple = R.REL
             test = test & slots[slot].isNotNull()
         else:
             regex = F.lit(pattern)
-        whole, hit = F.regexp_extract(span, regex, 0), F.regexp_extract(span, regex, 1)
+        whole, hit = (F.call_function("regexp_extract", span, regex, F.lit(k)) for k in (0, 1))
         start = F.locate("\u0001", F.replace(span, whole, F.concat(F.lit("\u0001"), whole))) - 1
-        start = start + F.greatest(F.length(F.substring_index(whole, hit, 1)), F.lit(0))
+        start = start + F.greatest(F.length(F.call_function("substring_index", whole, hit, F.lit(1))), F.lit(0))
         made = F.array(F.struct(hit.alias("hit"), F.lit(bonus).alias("bonus"), X.context(span, start, F.length(hit)).alias("context")))
         parts.append(F.when(test & (hit != ""), made).otherwise(none))
     return F.array_distinct(F.concat(*parts)) if parts else none

@@ -22,20 +22,26 @@ def fused(variants: DataFrame, terms: DataFrame, stats: DataFrame, k: int = CHUN
     return ranked.join(index.checked_broadcast(weight), "q").groupBy(F.col("q.q").alias("q"), "ord").agg(F.round(F.sum(F.col("weight") / (10 + F.col("rank"))), 6).alias("fusion"))
 
 
-def boost(question: Column, title: Column, url: Column, text: Column, retrieval: Column, legacy_host: str = "", people_host: str = "", help_host: str = "") -> Column:
-    """What the question and the page have in common beyond term weights, and whether the page is of the asked-for kind."""
-    types, low, body = R.question_types(question), F.lower(question), F.lower(text)
+def question_features(question: Column) -> Column:
+    """What boosts need of a question, computed once for all its pages."""
+    return F.struct(F.lower(question).alias("low"), R.question_types(question).alias("types"), R.focus_terms(question).alias("focus"), R.focus_ngrams(question).alias("bigrams"), R.person_in_question(question).alias("person"))
+
+
+def boost(asked: Column, title: Column, url: Column, text: Column, retrieval: Column, legacy_host: str = "", people_host: str = "", help_host: str = "") -> Column:
+    """What a question (by question_features) and a page have in common beyond term weights, and whether the page is of
+    the kind asked for."""
+    types, low, body = asked["types"], asked["low"], F.lower(text)
     heading, page, full = F.lower(title), F.lower(url), F.lower(retrieval)
-    focus, site = R.focus_terms(question), U.host(url)
+    focus, site = asked["focus"], U.host(url)
     zero = F.lit(0.0)
     has = lambda *names: F.arrays_overlap(types, F.array(*[F.lit(n) for n in names]))
     on = lambda name: U.family(url, name)
     give = lambda test, value: F.when(F.coalesce(test, F.lit(False)), F.lit(value)).otherwise(zero)
     at = lambda name: F.contains(site, F.lit(name)) if name else F.lit(False)
     overlap = F.size(F.array_intersect(focus, X.tokens(retrieval)))
-    bigrams = F.size(F.filter(R.focus_ngrams(question), lambda b: F.contains(full, b)))
+    bigrams = F.size(F.filter(asked["bigrams"], lambda b: F.contains(full, b)))
     in_title = F.size(F.array_intersect(focus, X.tokens(title)))
-    person = R.person_in_question(question)
+    person = asked["person"]
     surname = F.element_at(F.split(F.lower(X.collapse(person)), " "), -1)
     personal = on("homepage") | at(people_host)
     office = R.any_in(low, ("division office", "main office", "office located", "office location", "main office close"))
@@ -153,12 +159,12 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 8, hints: DataFra
     pages = pages.join(base.select("q").distinct(), "q", "left_semi")
     fusion = fused(variants.where("pos > 0"), terms, stats)
     body = docs.select("ord", "url", "title", "text", "retrieval")
-    about = questions.select("q", F.col("text").alias("question"))
+    about = questions.select("q", question_features(F.col("text")).alias("asked"))
     named = {n: hosts[n] for n in ("legacy_host", "people_host", "help_host") if n in hosts}
 
     def bonus_of(pairs: DataFrame) -> DataFrame:
         met = pairs.select("q", "ord").distinct().join(body, "ord").join(index.checked_broadcast(about), "q")
-        return met.select("q", "ord", boost(F.col("question"), F.col("title"), F.col("url"), F.col("text"), F.col("retrieval"), **named).alias("bonus"))
+        return met.select("q", "ord", boost(F.col("asked"), F.col("title"), F.col("url"), F.col("text"), F.col("retrieval"), **named).alias("bonus"))
 
     pool = base
     if hints is not None:
@@ -168,7 +174,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 8, hints: DataFra
     pool = pool.unionByName(page_injection(pages, docs, base, bonus_of(on_pages), pool))
     met = pool.join(bonus_of(pool), ["q", "ord"]).join(fusion, ["q", "ord"], "left").join(body.select("ord", "url"), "ord")
     met = met.join(pages.select("q", "url", F.col("score").alias("page_score")), ["q", "url"], "left")
-    met = met.join(index.checked_broadcast(about.select("q", R.question_types(F.col("question")).alias("types"))), "q")
+    met = met.join(index.checked_broadcast(about.select("q", F.col("asked.types").alias("types"))), "q")
     if hints is None:
         met = met.withColumn("preferred", F.lit(False))
     else:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.plans import corpora, retrieval, texts
+from loomline.plans import answers, corpora, retrieval, texts
 
-MODULES: tuple = (retrieval, texts, corpora)
+MODULES: tuple = (retrieval, texts, corpora, answers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
