@@ -147,13 +147,14 @@ def answers(questions: DataFrame, retrieved: DataFrame, known: DataFrame | None
 
     Each step sees only what the steps before left open. known: question, answer, ord; exact allows word-for-word lookup.
     """
-    left, out = questions.where(F.trim("text") != ""), None
+    # every step reads these again, so Spark keeps them
+    left, out, retrieved = questions.where(F.trim("text") != ""), None, retrieved.persist()
 
     def settle(found: DataFrame, how: str) -> None:
         nonlocal left, out
-        named = found.select("q", "answer", F.lit(how).alias("how"))
+        named = found.select("q", "answer", F.lit(how).alias("how")).persist()
         out = named if out is None else out.unionByName(named)
-        left = left.join(found.select("q"), "q", "left_anti")
+        left = left.join(named.select("q"), "q", "left_anti")
 
     if known is not None:
         if exact:

@@ -152,12 +152,13 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 8, hints: DataFra
     variants = questions.select("q", F.explode(R.query_variants(F.col("text"))).alias("v")).select("q", "v.*")
     asked = index.query_terms(questions)
     vocabulary = asked.select("term").unionByName(index.query_terms(variants).select("term")).distinct()
-    terms, stats = index.postings(docs, "retrieval", vocabulary=vocabulary), index.statistics(docs, "retrieval")
-    base = index.top(index.bm25_scores(asked, terms, stats), max(32, 12 * k)).select("q", "ord", "score")
+    # what several branches of the plan read is kept by Spark, which rebuilds lost parts
+    terms, stats = index.postings(docs, "retrieval", vocabulary=vocabulary).persist(), index.statistics(docs, "retrieval").persist()
+    base = index.top(index.bm25_scores(asked, terms, stats), max(32, 12 * k)).select("q", "ord", "score").persist()
     page_terms, page_stats = index.group_postings(docs, "url", "retrieval", vocabulary=vocabulary)
     pages = index.top(index.bm25_scores(asked, page_terms, page_stats), max(20, 6 * k)).select("q", F.col("ord").alias("url"), "score", "rank")
-    pages = pages.join(base.select("q").distinct(), "q", "left_semi")
-    fusion = fused(variants.where("pos > 0"), terms, stats)
+    pages = pages.join(base.select("q").distinct(), "q", "left_semi").persist()
+    fusion = fused(variants.where("pos > 0"), terms, stats).join(base.select("q").distinct(), "q", "left_semi")
     body = docs.select("ord", "url", "title", "text", "retrieval")
     about = questions.select("q", question_features(F.col("text")).alias("asked"))
     named = {n: hosts[n] for n in ("legacy_host", "people_host", "help_host") if n in hosts}
@@ -171,7 +172,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 8, hints: DataFra
         preferred = preferred_chunks(docs, questions, hints).join(base.select("q").distinct(), "q", "left_semi")
         pool = pool.unionByName(preferred.select("q", "ord", F.lit(0.01).alias("score")).join(pool, ["q", "ord"], "left_anti"))
     on_pages = pages.select("q", "url").join(docs.select("ord", "url"), "url").select("q", "ord")
-    pool = pool.unionByName(page_injection(pages, docs, base, bonus_of(on_pages), pool))
+    pool = pool.unionByName(page_injection(pages, docs, base, bonus_of(on_pages), pool)).persist()
     met = pool.join(bonus_of(pool), ["q", "ord"]).join(fusion, ["q", "ord"], "left").join(body.select("ord", "url"), "ord")
     met = met.join(pages.select("q", "url", F.col("score").alias("page_score")), ["q", "url"], "left")
     met = met.join(index.checked_broadcast(about.select("q", F.col("asked.types").alias("types"))), "q")
