@@ -35,9 +35,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     whole = Window.partitionBy()
     filled = F.coalesce(F.sum("limit").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     open_weight = F.sum("weight").over(by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    level = known.withColumn("budget", F.lit(float(share)) * F.sum("source_size").over(whole)).withColumn("level", (F.col("budget") - filled) / open_weight)
+    level = known.withColumn("budget", F.lit(float(share)) * F.sum("source_size").over(whole)).withColumn("level", (F.col("budget") - filled) / open_weight).withColumn("place", F.row_number().over(by_level))
     # the first source that the level of those from it on doesn't fill sets the level for all later ones
-    first = F.min(F.when(F.col("level") * F.col("weight") < F.col("limit"), F.struct((F.col("limit") / F.col("weight")).alias("k"), F.col("level").alias("level")))).over(whole)
+    first = F.min(F.when(F.col("level") * F.col("weight") < F.col("limit"), F.struct("place", "level"))).over(whole)
     return level.withColumn("first", first).withColumn("target", F.when(F.col("first").isNull(), F.col("limit")).otherwise(F.least("limit", F.col("first.level") * F.col("weight")))).select("source", "source_size", "target")
 
 
@@ -91,8 +91,9 @@ WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, 2.0::DOUBLE * source_size AS lim FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-  / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-f AS (SELECT arg_min(level, lim / weight) FILTER (level * weight < lim) AS level FROM l),
+  / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+  row_number() OVER (ORDER BY lim / weight, source NULLS LAST) AS place FROM w),
+f AS (SELECT arg_min(level, place) FILTER (level * weight < lim) AS level FROM l),
 t AS (SELECT source, source_size, CASE WHEN f.level IS NULL THEN lim ELSE least(lim, f.level * weight) END AS target FROM l, f),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) AS rank FROM d),
 x AS (SELECT doc_id, size, source_size, target, rank, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each,
