@@ -21,6 +21,7 @@ components is left: no link between different components is lost, and none insid
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from math import exp, log
 
@@ -31,13 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.llm.components import connected_components
-from loomline.llm.shared import kept, mix, n_groups, passes, text_buffer, window_hashes, word_hashes
+from loomline.llm.shared import kept, mix, n_groups, passes, release, slices, text_buffer, window_hashes, word_hashes
 
 BAND_GROWTH = 1.5
 #: So many different sets with one signature in one pass leave it as rows of their own instead of meeting in a bucket.
 HEAVY = 64
 #: Runs of so many sets or fewer get all their pairs between components verified at once.
-SMALL_RUN = 32
+SMALL_RUN = 64
 #: Row keys broadcast at most; beyond that they are joined.
 BROADCAST_KEYS = 1_000_000
 
@@ -119,6 +120,18 @@ def set_keys(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([mix(_sums(mix(shingles ^ _SALT[k]), at) + np.diff(at).astype(np.uint64)) for k in (0, 1)], axis=1)
 
 
+#: How many shingles of a set fall into each of 64 parts of the hash range, up to 255. The sum of differences between
+#: two sketches is at most the number of shingles in which the sets differ.
+_SKETCH = np.dtype([("n", "<i8"), ("counts", "u1", 64)])
+
+
+def sketches(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out, sizes = np.zeros(len(at) - 1, dtype=_SKETCH), np.diff(at)
+    part = np.repeat(np.arange(len(sizes)) * 64, sizes) + (shingles >> np.uint64(58)).astype(np.int64)
+    out["n"], out["counts"] = sizes, np.minimum(np.bincount(part, minlength=64 * len(sizes)), 255).reshape(-1, 64)
+    return out
+
+
 def signatures(shingles: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures and the number of the set that each is of, for sets that aren't empty."""
     law, sizes = Similarity(percent), np.diff(at)
@@ -216,28 +229,52 @@ def _runs(rows: pa.Table) -> pa.Table:
             take = np.concatenate([np.arange(new[k], new[k] + length[k]) for k in whole])
             out_run.append(np.repeat(same, length[whole]).view(np.int64))
             out_set.append(keys[member[take]])
+    release()
     runs = np.concatenate(out_run) if out_run else np.zeros(0, np.int64)
     sets = np.concatenate(out_set) if out_set else np.zeros((0, 2), np.uint64)
     return pa.table([pa.array(runs, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=pa.schema([("run", pa.int64()), ("set", pa.binary())]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; sketches first rule out pairs that differ too much, sets are read for the rest."""
     law = Similarity(percent)
 
+    def rule_out(batches):
+        for batch in slices(batches, 4096):
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=_SKETCH) for c in ("x", "y"))
+            apart = np.abs(x["counts"].astype(np.int16) - y["counts"].astype(np.int16)).sum(axis=1, dtype=np.int64)
+            apart = np.maximum(apart, np.abs(x["n"] - y["n"]))
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= law.differences(x["n"] + y["n"])))
+
+    def shingle(batches):
+        for batch in slices(batches):
+            for _, _, shingles, at in shingle_sets(batch.column(0), width):
+                keys = set_keys(shingles, at)
+                for k in range(0, len(keys), 256):
+                    stop = min(k + 256, len(keys))
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in keys[k:stop]], pa.binary()), pa.array([shingles[at[i] : at[i + 1]].tobytes() for i in range(k, stop)], pa.binary())], names=["set", "shingles"])
+
     def check(batches):
-        for batch in batches:
-            left, right, good = batch.column("x").to_pylist(), batch.column("y").to_pylist(), []
-            for x, y in zip(left, right, strict=True):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+        for batch in slices(batches, 256):
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 if len(p) > len(q):
                     p, q = q, p
                 common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
                 good.append(law.holds(common, len(p) + len(q) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+    def both(pairs: DataFrame, frame: DataFrame, value: str) -> DataFrame:
+        sides = [frame.select(F.col("set").alias(k), F.col(value).alias(v)) for k, v in (("b", "y"), ("a", "x"))]
+        return pairs.join(sides[0], "b").join(sides[1], "a").select("a", "b", "x", "y")
+
+    near = kept(both(pairs, classes, "sketch").mapInArrow(rule_out, "a binary, b binary"))
+    wanted = kept(near.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes, "set").select("row"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    # rows that repeat a row bring a set twice, which only repeats a link
+    sets = rows.join(wanted, "row", "left_semi").select("text").mapInArrow(shingle, "set binary, shingles binary")
+    return both(near, sets, "shingles").mapInArrow(check, "a binary, b binary").distinct()
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -250,7 +287,7 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(mixed, "run")
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame] | None:
+def _links(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame] | None:
     """Enough links to connect all components, and the component of each set in one; None if there is no link."""
     n_pivots, links, labels, done = 1, None, None, None
     while True:
@@ -267,11 +304,11 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
         pairs = kept(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         done = pairs if done is None else done.unionByName(pairs)
         members = kept(large.select("run", "set").join(pivots.select("run", F.col("pivot").alias("set")), ["run", "set"], "left_anti"))
-        found = kept(_verified(pairs, sets, percent))
+        found = kept(verified(pairs))
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = kept(connected_components(links))
-        n_pivots *= 4
+        n_pivots *= 16
     return None if links is None else (links, labels)
 
 
@@ -284,37 +321,26 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     part and can connect others, but is nobody's smallest id; a component without any id has a null one. Only `text`
     and `doc_id` are read, so further columns may have any name. An empty table gives an empty result.
     """
-    buckets = n_groups(docs, text)
+    buckets = n_groups(docs, text, 8 << 20)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("row"))
 
     def message(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield from _messages(batch.column(0), width, percent, buckets)
 
     def key(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for start, stop, shingles, at in shingle_sets(batch.column("text"), width):
                 keys, sizes = set_keys(shingles, at), np.diff(at)
                 names = [k.tobytes() if n else None for k, n in zip(keys, sizes.tolist(), strict=True)]
-                own = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("row"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary())], names=["doc_id", "row", "n_shingles", "set"])
-
-    def shingle(batches):
-        for batch in batches:
-            for _, _, shingles, at in shingle_sets(batch.column(0), width):
-                keys = set_keys(shingles, at)
-                for k in range(0, len(keys), 256):
-                    stop = min(k + 256, len(keys))
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in keys[k:stop]], pa.binary()), pa.array([shingles[at[i] : at[i + 1]].tobytes() for i in range(k, stop)], pa.binary())], names=["set", "shingles"])
+                own, drawn = batch.slice(start, stop - start), [x.tobytes() for x in sketches(shingles, at)]
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("row"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(drawn, pa.binary())], names=["doc_id", "row", "n_shingles", "set", "sketch"])
 
     id_type = rows.schema["doc_id"].dataType
-    keyed = kept(rows.mapInArrow(key, T.StructType([T.StructField("doc_id", id_type), T.StructField("row", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set", T.BinaryType())])))
+    keyed = kept(rows.mapInArrow(key, T.StructType([T.StructField("doc_id", id_type), T.StructField("row", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField("sketch", T.BinaryType())])))
     members = kept(rows.select("text").mapInArrow(message, MESSAGE_DDL).groupBy("bucket").applyInArrow(_runs, MEMBER_DDL).distinct())
-    classes = keyed.where("set is not null").groupBy("set").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id"))
-    wanted = kept(members.select("set").distinct().join(classes, "set").select("row"))
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
-    sets = kept(rows.join(wanted, "row", "left_semi").select("text").mapInArrow(shingle, "set binary, shingles binary").dropDuplicates(["set"]))
-    found = _links(members, sets, percent)
+    classes = kept(keyed.where("set is not null").groupBy("set").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id"), F.min("sketch").alias("sketch")))
+    found = _links(members, lambda pairs: _verified(pairs, classes, rows, width, percent))
     classes = classes.select("set", "first_id")
     if found:
         labelled = classes.join(found[1].withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))

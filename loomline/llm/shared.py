@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 #: Text that one group of a packed shuffle stands for; bounds the memory of the Python worker that reads it.
 GROUP_BYTES = 16 << 20
 #: Text hashed in one numpy pass; a single longer text makes its own pass.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 1 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -34,10 +37,25 @@ def kept(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def n_groups(frame: DataFrame, text: str) -> int:
-    """Number of groups so that each stands for about GROUP_BYTES of text, and no fewer than the shuffle partitions."""
+def release() -> None:
+    """Give memory that is free in this Python worker back to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of some rows; once all are done, memory is released."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    release()
+
+
+def n_groups(frame: DataFrame, text: str, group_bytes: int = GROUP_BYTES) -> int:
+    """Number of groups so that each stands for about that much text, and no fewer than the shuffle partitions."""
     total = frame.agg(F.sum(F.octet_length(text).cast("long")).alias("b")).first()["b"] or 0
-    return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // GROUP_BYTES), 1)
+    return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // group_bytes), 1)
 
 
 # ------------------------------------------------------------------ hashing of words

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.shared import SECOND_BASE, n_groups, passes, text_buffer, window_hashes, word_hashes
+from loomline.llm.shared import SECOND_BASE, n_groups, passes, release, text_buffer, window_hashes, word_hashes
 
 MESSAGE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("once", pa.binary()), ("again", pa.binary())])
 ANSWER = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
@@ -89,6 +89,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     def send(key: tuple, rows: pa.Table) -> pa.Table:
         hashes, second = _chunk_windows(rows.column("text"), width)
         out = [(b, *_once_and_again(h)) for b, h in _by_bucket(hashes, second, groups)]
+        release()
         return pa.table([[b for b, _, _ in out], [key[0].as_py()] * len(out), [x.tobytes() for _, x, _ in out], [x.tobytes() for _, _, x in out]], schema=MESSAGE)
 
     def answer(key: tuple, rows: pa.Table) -> pa.Table:
@@ -144,6 +145,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
                 out["kept"].append(whole.decode())
                 out["spans"].append([{"from": a, "to": b} for a, b in turn.reshape(-1, 2).tolist()])
         spans = pa.array(out["spans"], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))
+        release()
         return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "kept": pa.array(out["kept"], pa.string()), "spans": spans})
 
     grouped = rows.groupBy("chunk")
