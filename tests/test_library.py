@@ -244,3 +244,26 @@ def test_entry_contract(spark):
 
     found = entry.queries()
     assert set(entry.oracle_sql()) <= set(found) and entry.entry(spark).count() > 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from loomline import cli
+
+    at = lambda name: str(tmp_path / name)
+    (tmp_path / "r.jsonl").write_text('{"question": "a", "answer": "x|y", "url": "u"}\n{"question": "b", "answer": "z", "url": "u"}\n')
+    (tmp_path / "p.txt").write_text("Y\nno\n")
+    cli.main(["evaluate", at("r.jsonl"), at("p.txt"), "--details-out", at("d")])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["exact_match_percent"] == 50.0
+    (tmp_path / "q.txt").write_text("b\na\n")
+    cli.main(["evaluate", at("r.jsonl"), at("p.txt"), "--questions", at("q.txt")])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["exact_match_percent"] == 0.0
+    body = "word " * 30
+    (tmp_path / "c.jsonl").write_text(f'{{"url": "u", "text": "{body}"}}\n{{"url": "v", "text": "{body}"}}\n{{"url": "w"}}\n')
+    cli.main(["filter", at("c.jsonl"), at("kept")])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"kept": 1, "removed": 2}
+    cli.main(["worklist", at("c.jsonl"), at("list"), "--limit", "2"])
+    assert spark.read.option("header", True).csv(at("list")).count() == 2
+    cli.main(["export", at("r.jsonl"), at("questions")])
+    assert [r["value"] for r in spark.read.text(at("questions")).collect()] == ["a", "b"]
