@@ -14,9 +14,9 @@ A pair is safe if either set is, so each kind needs to meet only its own kind. m
 make the expected number of signatures smallest.
 
 Signatures travel packed, dealt into buckets by hash; sets that share one form a run. Runs with the
-same members count once. Within a run every set is verified against one pivot on the full sets; runs
-that still hold several components get further pivots until no unverified pair of sets in different
-components is left: no link between different components is lost, and none inside one is counted twice.
+same members count once. Within a run every set is verified against one pivot on the full sets. In runs
+that then still hold several components, all pairs of sets in different components are compared by
+sketch, in blocks, and verified unless the sketches rule them out: no link between components is lost.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ from loomline.llm.shared import kept, mix, n_groups, passes, release, slices, te
 BAND_GROWTH = 1.5
 #: So many different sets with one signature in one pass leave it as rows of their own instead of meeting in a bucket.
 HEAVY = 64
-#: Runs of so many sets or fewer get all their pairs between components verified at once.
-SMALL_RUN = 64
+#: Sets of a run that meet at once, and rows of runs in one group.
+BLOCK_SETS, GROUP_ROWS = 512, 100_000
 #: Row keys broadcast at most; beyond that they are joined.
 BROADCAST_KEYS = 1_000_000
 
@@ -287,29 +287,65 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(mixed, "run")
 
 
-def _links(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame] | None:
-    """Enough links to connect all components, and the component of each set in one; None if there is no link."""
-    n_pivots, links, labels, done = 1, None, None, None
-    while True:
-        open_runs = kept(_labelled(members, labels))
-        if open_runs.isEmpty():
-            break
-        small = open_runs.where(F.col("n") <= SMALL_RUN) if labels is not None or n_pivots > 1 else open_runs.where("false")
-        large = open_runs.where(F.col("n") > SMALL_RUN) if labels is not None or n_pivots > 1 else open_runs
-        seat = F.pmod(F.xxhash64("set", F.lit(n_pivots)), F.lit(n_pivots))
-        pivots = large.groupBy("run", seat.alias("seat")).agg(F.min(F.struct(F.xxhash64("set"), "set", "component")).alias("p")).select("run", F.col("p.set").alias("pivot"), F.col("p.component").alias("pivot_component"))
-        pairs = large.join(pivots, "run").where("component <> pivot_component").select("set", "pivot")
-        pairs = pairs.unionByName(small.alias("s").join(small.select("run", F.col("set").alias("pivot"), F.col("component").alias("pivot_component")), "run").where("component <> pivot_component and set < pivot").select("set", "pivot"))
-        pairs = pairs.select(F.least("set", "pivot").alias("a"), F.greatest("set", "pivot").alias("b")).distinct()
-        pairs = kept(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        done = pairs if done is None else done.unionByName(pairs)
-        members = kept(large.select("run", "set").join(pivots.select("run", F.col("pivot").alias("set")), ["run", "set"], "left_anti"))
-        found = kept(verified(pairs))
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = kept(connected_components(links))
-        n_pivots *= 16
-    return None if links is None else (links, labels)
+def _pairs_between(runs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of a run in different components whose sketches don't rule them out.
+
+    runs: run, set, component, n (members of the run). Long runs are cut into blocks, of which each two meet, and what
+    meets is packed into groups of about GROUP_ROWS rows; pairs that are ruled out never leave numpy.
+    """
+    law = Similarity(percent)
+
+    def meet(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("run", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        run, i, j, own = (rows.column(c).to_numpy() for c in ("run", "i", "j", "block"))
+        sets, component = rows.column("set").to_pylist(), rows.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+        drawn = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=_SKETCH)
+        size, counts, found = drawn["n"], drawn["counts"].astype(np.int16), []
+        cuts = np.flatnonzero((run[1:] != run[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(run)], strict=True):
+            last = np.arange(a, b) if i[a] == j[a] else a + np.flatnonzero(own[a:b] == j[a])
+            first = last if i[a] == j[a] else a + np.flatnonzero(own[a:b] == i[a])
+            for k in range(0, len(first), 64):
+                some = first[k : k + 64]
+                most = law.differences(size[some][:, None] + size[last][None])
+                good = (component[some][:, None] != component[last][None]) & (np.abs(size[some][:, None] - size[last][None]) <= most)
+                if i[a] == j[a]:
+                    good &= some[:, None] < last[None]
+                x, y = np.nonzero(good)
+                for c in range(0, len(x), 1 << 16):
+                    p, q = some[x[c : c + (1 << 16)]], last[y[c : c + (1 << 16)]]
+                    near = np.abs(counts[p] - counts[q]).sum(axis=1, dtype=np.int64) <= law.differences(size[p] + size[q])
+                    found += zip(p[near].tolist(), q[near].tolist(), strict=True)
+        release()
+        ends = [sorted((sets[p], sets[q])) for p, q in set(found)]
+        return pa.table([pa.array([e[k] for e in ends], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    blocks = F.floor((F.col("n") - 1) / BLOCK_SETS).cast("int") + 1
+    rows = runs.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("run", "set", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    groups = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // GROUP_ROWS + 1)
+    packed = rows.join(classes.select("set", "sketch"), "set").withColumn("group", F.pmod(F.xxhash64("run", "i", "j"), F.lit(groups)))
+    return packed.groupBy("group").applyInArrow(meet, "a binary, b binary").distinct()
+
+
+def _links(members: DataFrame, classes: DataFrame, percent: int, verified: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """The component of each set that is in a link; None if there is no link.
+
+    First every member of a run is verified against one, the set that is in most runs, as a text that others were
+    copied from is. Then, in runs that still hold several components, all pairs between components.
+    """
+    degree = members.groupBy("set").agg(F.count("*").alias("degree"))
+    ranked = members.join(degree, "set")
+    pivots = ranked.groupBy("run").agg(F.max(F.struct("degree", "set")).alias("p")).select("run", F.col("p.set").alias("pivot"))
+    star = members.join(pivots, "run").where("set <> pivot").select(F.least("set", "pivot").alias("a"), F.greatest("set", "pivot").alias("b")).distinct()
+    links = kept(verified(kept(star)))
+    labels = None if links.isEmpty() else kept(connected_components(links))
+    runs = kept(_labelled(members, labels))
+    more = kept(verified(kept(_pairs_between(runs, classes, percent))))
+    if more.isEmpty():
+        return labels
+    return kept(connected_components(links.unionByName(more)))
 
 
 def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
@@ -340,10 +376,10 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     keyed = kept(rows.mapInArrow(key, T.StructType([T.StructField("doc_id", id_type), T.StructField("row", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField("sketch", T.BinaryType())])))
     members = kept(rows.select("text").mapInArrow(message, MESSAGE_DDL).groupBy("bucket").applyInArrow(_runs, MEMBER_DDL).distinct())
     classes = kept(keyed.where("set is not null").groupBy("set").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id"), F.min("sketch").alias("sketch")))
-    found = _links(members, lambda pairs: _verified(pairs, classes, rows, width, percent))
+    found = _links(members, classes, percent, lambda pairs: _verified(pairs, classes, rows, width, percent))
     classes = classes.select("set", "first_id")
-    if found:
-        labelled = classes.join(found[1].withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    if found is not None:
+        labelled = classes.join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
         least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
         classes = labelled.join(least, "component").select("set", "component_id")
     else:
