@@ -38,7 +38,7 @@ BAND_GROWTH = 1.5
 #: So many different sets with one signature in one pass leave it as rows of their own instead of meeting in a bucket.
 HEAVY = 64
 #: Sets of a run that meet at once, and rows of runs in one group.
-BLOCK_SETS, GROUP_ROWS = 512, 100_000
+BLOCK_SETS, GROUP_ROWS = 512, 30_000
 #: Row keys broadcast at most; beyond that they are joined.
 BROADCAST_KEYS = 1_000_000
 
@@ -120,15 +120,15 @@ def set_keys(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([mix(_sums(mix(shingles ^ _SALT[k]), at) + np.diff(at).astype(np.uint64)) for k in (0, 1)], axis=1)
 
 
-#: How many shingles of a set fall into each of 64 parts of the hash range, up to 255. The sum of differences between
+#: How many shingles of a set fall into each of 256 parts of the hash range, up to 255. The sum of differences between
 #: two sketches is at most the number of shingles in which the sets differ.
-_SKETCH = np.dtype([("n", "<i8"), ("counts", "u1", 64)])
+_SKETCH = np.dtype([("n", "<i8"), ("counts", "u1", 256)])
 
 
 def sketches(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     out, sizes = np.zeros(len(at) - 1, dtype=_SKETCH), np.diff(at)
-    part = np.repeat(np.arange(len(sizes)) * 64, sizes) + (shingles >> np.uint64(58)).astype(np.int64)
-    out["n"], out["counts"] = sizes, np.minimum(np.bincount(part, minlength=64 * len(sizes)), 255).reshape(-1, 64)
+    part = np.repeat(np.arange(len(sizes)) * 256, sizes) + (shingles >> np.uint64(56)).astype(np.int64)
+    out["n"], out["counts"] = sizes, np.minimum(np.bincount(part, minlength=256 * len(sizes)), 255).reshape(-1, 256)
     return out
 
 
@@ -300,7 +300,7 @@ def _pairs_between(runs: DataFrame, classes: DataFrame, percent: int) -> DataFra
         run, i, j, own = (rows.column(c).to_numpy() for c in ("run", "i", "j", "block"))
         sets, component = rows.column("set").to_pylist(), rows.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
         drawn = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=_SKETCH)
-        size, counts, found = drawn["n"], drawn["counts"].astype(np.int16), []
+        size, counts, found = drawn["n"], drawn["counts"], []
         cuts = np.flatnonzero((run[1:] != run[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(run)], strict=True):
             last = np.arange(a, b) if i[a] == j[a] else a + np.flatnonzero(own[a:b] == j[a])
@@ -312,9 +312,9 @@ def _pairs_between(runs: DataFrame, classes: DataFrame, percent: int) -> DataFra
                 if i[a] == j[a]:
                     good &= some[:, None] < last[None]
                 x, y = np.nonzero(good)
-                for c in range(0, len(x), 1 << 16):
-                    p, q = some[x[c : c + (1 << 16)]], last[y[c : c + (1 << 16)]]
-                    near = np.abs(counts[p] - counts[q]).sum(axis=1, dtype=np.int64) <= law.differences(size[p] + size[q])
+                for c in range(0, len(x), 1 << 13):
+                    p, q = some[x[c : c + (1 << 13)]], last[y[c : c + (1 << 13)]]
+                    near = (np.maximum(counts[p], counts[q]) - np.minimum(counts[p], counts[q])).sum(axis=1, dtype=np.int64) <= law.differences(size[p] + size[q])
                     found += zip(p[near].tolist(), q[near].tolist(), strict=True)
         release()
         ends = [sorted((sets[p], sets[q])) for p, q in set(found)]
