@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.shared import checkpoint_dir
+from loomline.llm.shared import checkpoint_dir, slices
 
 MAGIC = b"LTS1"
 HEAD = struct.Struct("<4sIQQQQ")
@@ -36,7 +36,7 @@ BLOCK_IDS = 1 << 14
 #: Ids in a segment, at least one document; bounds the memory of writers and readers, save for one longer document.
 SEGMENT_IDS = 1 << 20
 #: Pieces of text whose ids a worker keeps.
-CACHE_WORDS = 700_000
+CACHE_WORDS, CACHE_PIECES = 500_000, 150_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -154,6 +154,8 @@ class WordEncoder:
         words = [self._words(x) for x in texts]
         if len(self.number) > self.limit:
             self._clear()
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces = {}
         number = self.number
         fresh = list(set().union(*words).difference(number))
         if fresh:
@@ -196,22 +198,21 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary:
     id_type = rows.schema["doc_id"].dataType
 
     def encode(batches):
-        encoder, part, number, held, ids = worker_encoder(tokenizer_path), TaskContext.get().partitionId(), 0, [], []
+        encoder, part, number, held, ids, kind = worker_encoder(tokenizer_path), TaskContext.get().partitionId(), 0, [], [], None
 
         def segment():
             nonlocal number, held, ids
             flat, sizes = np.concatenate([x for x, _ in ids]), np.concatenate([n for _, n in ids])
-            row = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([pa.concat_arrays(held).to_pylist()], pa.list_(held[0].type)), pa.array([segment_bytes(flat, np.cumsum(sizes) - sizes, vocabulary)], pa.binary())]
+            row = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([held], pa.list_(kind)), pa.array([segment_bytes(flat, np.cumsum(sizes) - sizes, vocabulary)], pa.binary())]
             number, held, ids = number + 1, [], []
             return pa.RecordBatch.from_arrays(row, names=["part", "number", "n_ids", "doc_ids", "bytes"])
 
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                some = batch.slice(k, 500)
-                held.append(some.column("doc_id"))
-                ids.append(encoder(some.column("text").to_pylist(), end_id))
-                if sum(len(x) for x, _ in ids) >= segment_ids:
-                    yield segment()
+        for some in slices(batches, 200):
+            held += some.column("doc_id").to_pylist()  # a slice would hold on to the whole batch
+            kind = some.column("doc_id").type
+            ids.append(encoder(some.column("text").to_pylist(), end_id))
+            if sum(len(x) for x, _ in ids) >= segment_ids:
+                yield segment()
         if held:
             yield segment()
 
