@@ -328,6 +328,14 @@ def test_lines(spark, nothing):
     assert near_lines(nothing).count() == 0
 
 
+def test_lines_without_white_space_meet(spark):
+    rng = random.Random(8)
+    urls = ["".join(rng.choice("abcdefghijklmnop/") for _ in range(300)) for _ in range(6)]
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(urls + ["#" + x[1:] for x in urls])], "doc_id long, text string")
+    own = {r["doc_id"]: r["component_id"] for r in near_lines(frame).collect()}
+    assert all(own[k] == own[k + 6] for k in range(6)) and len(set(own.values())) == 6
+
+
 def test_chat(spark):
     calls = [("c", "a", "sum", '{"y": 2, "x": 1}', None), ("c", "b", "sum", '{"x": "no", "z": {"q": 1, "p": null}}', ["a"]), ("c", "d", "none", "{}", ["b", "missing"]), ("c", "e", "sum", "nonsense", ["f"]), ("c", "f", "sum", None, ["e"]), ("c", "g", "sum", '{"x": 1.5}', ["f"]), ("c", "a", "sum", '{"y": 2, "x": 1}', ["a0"]), (None, "a", "sum", "{}", None)]
     results = [("c", "a", "3", 1), ("c", "a", "4", 1), ("c", "z", "lost", 1), ("c", None, "x", 1)]
