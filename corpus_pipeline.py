@@ -6,13 +6,13 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.decontaminate import find_leaks
 from loomline.llm.jaccard_join import similar_documents
 from loomline.llm.mixing import mix_sources
-from loomline.llm.shared import checkpoint_dir
+from loomline.llm.shared import checkpoint_dir, kept
 from loomline.llm.token_files import read_digests, scratch_folder, write_tokens
 from loomline.llm.toxicity import score_toxicity
 from loomline.sources.tables import table
@@ -26,11 +26,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
+def _row_key() -> Column:
+    """A text that names a row and sorts by its id, null ids last; rows have the same one only if they are equal."""
+    place = F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    own = F.lpad(F.hex(F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])), 16, "0")
+    return F.concat(F.when(F.col("doc_id").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), place)), F.lit("-"), own)
+
+
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id; documents without an id stay."""
-    found = similar_documents(docs, width=5, percent=80)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies, that of the smallest id (null ids last), whatever ids are repeated.
+
+    Rows without words are in no group and all stay. Of equal rows that are chosen one stays; only these are shuffled.
+    """
+    rows = docs.select(*COLUMNS, _row_key().alias("row_key"))
+    found = kept(similar_documents(rows, doc_id="row_key", width=5, percent=80).where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("n")))
+    gone = found.where("doc_id <> component_id or n > 1").select(F.col("doc_id").alias("row_key"))
+    again = found.where("doc_id = component_id and n > 1").select(F.col("doc_id").alias("row_key"))
+    alone = rows.join(gone, "row_key", "left_anti").select(*COLUMNS)
+    return alone.unionByName(rows.join(again, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -391,3 +391,14 @@ def test_pipeline(spark, tmp_path):
     assert sizes[0] >= sizes[1] >= sizes[2] >= sizes[3] > 0 and sizes[4] == sizes[5] > 0
     kept = spark.read.parquet(str(tmp_path / "near_duplicates"))
     assert similar_documents(kept).where(F.col("doc_id") != F.col("component_id")).count() == 0
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    text = [" ".join(f"{name}{k}" for k in range(60)) for name in "abcde"]
+    near = text[0] + " end"
+    rows = [(1, text[0]), (1, text[0]), (2, text[0]), (2, text[1]), (3, near), (-4, text[2]), (5, text[2]), (None, text[3]), (None, text[3]), (None, text[4]), (7, text[4]), (8, ""), (8, ""), (None, None)]
+    frame = spark.createDataFrame([(k, x, "en", None, 1) for k, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_similar(spark, frame, "").collect())
+    assert got == Counter([(1, text[0]), (2, text[1]), (-4, text[2]), (None, text[3]), (7, text[4]), (8, ""), (8, ""), (None, None)])
