@@ -52,6 +52,15 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
     release()
 
 
+def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about so many bytes of a text column, one row at least; once all are done, memory is released."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        for start, stop in passes(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), limit):
+            yield batch.slice(start, stop - start)
+    release()
+
+
 def n_groups(frame: DataFrame, text: str, group_bytes: int = GROUP_BYTES) -> int:
     """Number of groups so that each stands for about that much text, and no fewer than the shuffle partitions."""
     total = frame.agg(F.sum(F.octet_length(text).cast("long")).alias("b")).first()["b"] or 0
@@ -69,7 +78,10 @@ _LOWER[65:91] += 32
 BYTE_BASE, WORD_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 
 
-@lru_cache(maxsize=8)
+#: Powers that a worker keeps of a base; those of a longer text live no longer than its pass.
+KEPT_POWERS = 1 << 20
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n."""
     up, down = np.full(n, base, dtype=np.uint64), np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64)
@@ -77,11 +89,15 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+@lru_cache(maxsize=4)
+def _kept_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(base, n)
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << 16
-    while size < n:
-        size *= 4
-    up, down = _powers(base, size)
+    if n > KEPT_POWERS:
+        return _powers(base, n)
+    up, down = _kept_powers(base, 1 << 16 if n <= 1 << 16 else KEPT_POWERS)
     return up[:n], down[:n]
 
 

@@ -23,20 +23,23 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.shared import checkpoint_dir, slices
+from loomline.llm.shared import BYTE_BASE, WORD_BASE, checkpoint_dir, mix, powers, text_buffer, text_slices
 
 MAGIC = b"LTS1"
 HEAD = struct.Struct("<4sIQQQQ")
 BLOCK_IDS = 1 << 14
 #: Ids in a segment, at least one document; bounds the memory of writers and readers, save for one longer document.
 SEGMENT_IDS = 1 << 20
-#: Pieces of text whose ids a worker keeps.
-CACHE_WORDS, CACHE_PIECES = 500_000, 150_000
+#: Units of text whose ids a worker keeps, of some 32 bytes each, before it starts anew.
+CACHE_UNITS = 1_500_000
+#: Bytes of text and words that are encoded together.
+SLICE_BYTES, WORDS_AT_ONCE = 4 << 20, 1 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -95,86 +98,137 @@ class Segment:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]) if k + 1 < len(self.starts) else self.n_ids)
 
 
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All numbers from each start on, as many as its length."""
+    stop = np.cumsum(lengths)
+    return np.repeat(starts - (stop - lengths), lengths) + np.arange(int(stop[-1]) if len(stop) else 0)
+
+
 class WordEncoder:
     """Encodes texts by a byte-level tokenizer whose pieces never span ASCII white space and are cut at letters; it
-    lower-cases. Keeps the ids of the words that it has met.
+    lower-cases.
 
-    A new word that is a run of letters, then of plain marks, is two pieces: new pieces are normalised and spelt in
-    bytes together, then given to the model one by one. Any other word is encoded by itself.
+    Arrow cuts texts into words and finds the different ones, so Python sees each of those once for some texts. A word
+    that is a run of letters, then of plain marks, is two units; any other word is one. The ids of units that were met
+    are kept in arrays, found by 128 bits of hash; new letters or marks are normalised and spelt in bytes together,
+    then given to the model one by one, and any other unit is encoded by itself.
     """
 
     #: Marks that cut a word from what follows it and take no part in a longer rule.
     MARKS = '!"#$%&()*+,-./:;=?@[]^_`{}~'
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
+    def __init__(self, path: str, cache_units: int = CACHE_UNITS) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), cache_words
+        self.tokenizer, self.limit = Tokenizer.from_file(path), cache_units
         self.tokenize = self.tokenizer.model.tokenize
         self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._clear()
 
     def _clear(self) -> None:
-        self.number, self.lengths, self.flat, self.pieces = {b"": 0}, [np.ones(1, np.int64)], [np.zeros(1, np.uint32)], {}
-        self.begins = np.zeros(1, np.int64)
-
-    def _alone(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
+        self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.length, self.flat = np.zeros(0, np.uint32), np.zeros(0, np.uint16), np.zeros(0, np.uint32)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Letters or marks only: each piece stays whole, so the model takes it without searching for cuts."""
-        pieces = [x for x in dict.fromkeys(pieces) if x not in self.pieces]
-        for k in range(0, len(pieces), 5000):
-            some = pieces[k : k + 5000]
+    def _spelt(self, units: list[str]) -> list[list[int]]:
+        """Ids of units of letters or marks only: each stays whole, so the model takes it without searching for cuts."""
+        out = []
+        for k in range(0, len(units), 5000):
+            some = units[k : k + 5000]
             spelt = self.byte_level.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(" ".join(some)))[0][0].split("Ġ")
-            if len(spelt) == len(some):
-                self.pieces.update((x, [t.id for t in self.tokenize(y)]) for x, y in zip(some, spelt, strict=True))
-            else:
-                self.pieces.update(zip(some, self._alone(some), strict=True))
-
-    def _encoded(self, words: list[bytes]) -> list[list[int]]:
-        plain = [w.decode() for w in words]
-        stems = [w.rstrip(self.MARKS) for w in plain]
-        # the small form of İ ends in a mark that would join the marks after it
-        cut = [s.isalpha() and "İ" not in s for s in stems]
-        self._learn([s for s, c in zip(stems, cut, strict=True) if c])
-        self._learn([w[len(s) :] for w, s, c in zip(plain, stems, cut, strict=True) if c and len(s) < len(w)])
-        alone = iter(self._alone([w for w, c in zip(plain, cut, strict=True) if not c]))
-        pieces = self.pieces
-        return [(pieces[s] + pieces[w[len(s) :]] if len(s) < len(w) else pieces[s]) if c else next(alone) for w, s, c in zip(plain, stems, cut, strict=True)]
-
-    @staticmethod
-    def _words(text: str) -> list[bytes]:
-        data = text.encode()
+            out += [[t.id for t in self.tokenize(y)] for y in spelt] if len(spelt) == len(some) else self._alone(some)
+        return out
+
+    def _alone(self, units: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)] if units else []
+
+    def _found(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where units are kept, whether they are, and their first hash, which moves on while another unit has the same."""
+        if not len(self.first):
+            return np.zeros(len(first), np.int64), np.zeros(len(first), bool), first
+        while True:
+            at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+            same = self.first[at] == first
+            other = same & (self.second[at] != second)
+            if not other.any():
+                return at, same, first
+            first = np.where(other, mix(first + second), first)
+
+    def _learn(self, data: bytes, begin: np.ndarray, end: np.ndarray, first: np.ndarray, second: np.ndarray, whole: np.ndarray) -> None:
+        """Keep the ids of units, given as stretches of data; whole ones aren't letters or marks only."""
+        _, one = np.unique(first, return_index=True)
+        units = [data[a:b].decode() for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
+        ids: list = [None] * len(units)
+        for kind, encode in ((False, self._spelt), (True, self._alone)):
+            which = np.flatnonzero(whole[one] == kind).tolist()
+            for k, x in zip(which, encode([units[k] for k in which]), strict=True):
+                ids[k] = x
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        if len(length) and length.max() >= 1 << 16:
+            self.length = self.length.astype(np.uint32)
+        start = len(self.flat) + np.cumsum(length) - length
+        at = np.searchsorted(self.first, first[one])
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))))
+        self.first, self.second = np.insert(self.first, at, first[one]), np.insert(self.second, at, second[one])
+        self.begin, self.length = np.insert(self.begin, at, start.astype(np.uint32)), np.insert(self.length, at, length.astype(self.length.dtype))
+
+    def _units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some words, one word after the other, and their number in each."""
+        plain = pc.invert(pc.or_(pc.match_substring_regex(words, "[\u0300-\u036f]"), pc.match_substring(words, "<|")))
         # not lower-cased early where a mark may compose with a small letter only, or a special token may be spelt
-        return (data if b"\xcc" in data or b"\xcd" in data or b"<|" in data else data.lower()).split()
-
-    def __call__(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids with the end id after each text, and the number of ids of each text."""
-        words = [self._words(x) for x in texts]
-        if len(self.number) > self.limit:
+        words = pc.if_else(plain, pc.ascii_lower(words), words)
+        stems = pc.ascii_rtrim(words, self.MARKS)
+        letters = pc.if_else(pc.string_is_ascii(stems), pc.ascii_is_alpha(stems), pc.utf8_is_alpha(stems)).to_numpy(zero_copy_only=False)
+        # the small form of İ ends in a mark that would join the marks after it; what counts as a letter is Python's view
+        for k in np.flatnonzero(letters & ~pc.string_is_ascii(stems).to_numpy(zero_copy_only=False)).tolist():
+            stem = stems[k].as_py()
+            letters[k] = stem.isalpha() and "İ" not in stem
+        data, bounds = text_buffer(words)
+        begin, end = bounds[:-1], bounds[1:]
+        cut = np.where(letters, begin + np.diff(text_buffer(stems)[1]), end)
+        up, sums = {}, {}
+        for base in (BYTE_BASE, WORD_BASE):
+            up[base] = powers(base, max(1, len(data)))
+            sums[base] = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[base][0][: len(data)], dtype=np.uint64)))
+        a, b = np.concatenate((begin, cut)), np.concatenate((cut, end))
+        whole = np.concatenate((~letters, np.zeros(len(letters), bool)))
+        some = np.flatnonzero(a < b)
+        a, b, whole = a[some], b[some], whole[some]
+        first, second = (mix((sums[base][b] - sums[base][a]) * up[base][1][a] + (b - a).astype(np.uint64)) for base in (BYTE_BASE, WORD_BASE))
+        if len(self.first) > self.limit:
             self._clear()
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces = {}
-        number = self.number
-        fresh = list(set().union(*words).difference(number))
-        if fresh:
-            got = self._encoded(fresh)
-            number.update(zip(fresh, range(len(number), len(number) + len(fresh)), strict=True))
-            self.lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
-            self.flat.append(np.fromiter(chain.from_iterable(got), np.uint32))
-        if len(self.flat) > 1:
-            self.lengths, self.flat = [np.concatenate(self.lengths)], [np.concatenate(self.flat)]
-            self.begins = np.cumsum(self.lengths[0]) - self.lengths[0]
-        lengths, begins, flat = self.lengths[0], self.begins, self.flat[0]
-        # number 0 is the end of a text
-        which = np.fromiter(chain.from_iterable(chain(map(number.__getitem__, x), (0,)) for x in words), np.int64)
-        n = lengths[which]
-        stop = np.cumsum(n)
-        ids = flat[np.repeat(begins[which] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
-        ids[stop[np.flatnonzero(which == 0)] - 1] = end_id
-        last = np.cumsum([len(x) + 1 for x in words]) if words else np.zeros(0, np.int64)
-        return ids, np.diff(np.concatenate(([0], stop[last - 1]))) if words else last
+        at, known, first = self._found(first, second)
+        while not known.all():
+            new = np.flatnonzero(~known)
+            self._learn(data.tobytes(), a[new], b[new], first[new], second[new], whole[new])
+            at, known, first = self._found(first, second)
+        start, length = np.zeros(2 * len(words), np.int64), np.zeros(2 * len(words), np.int64)
+        start[some], length[some] = self.begin[at], self.length[at]
+        n = length[: len(words)] + length[len(words) :]
+        place = np.cumsum(n) - n
+        ids = np.empty(int(n.sum()), np.uint32)
+        ids[_spread(np.concatenate((place, place + length[: len(words)])), length)] = self.flat[_spread(start, length)]
+        return ids, n
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids with the end id after each text, and the number of ids of each text; null counts as empty."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        words, cuts = split.flatten(), np.asarray(split.offsets)
+        cuts = cuts - cuts[0]
+        ids, counts = [], [np.zeros(0, np.int64)]
+        for k in range(0, len(words), WORDS_AT_ONCE):
+            coded = words[k : k + WORDS_AT_ONCE].dictionary_encode()
+            flat, n = self._units(coded.dictionary)
+            which = coded.indices.to_numpy()
+            counts.append(n[which])
+            ids.append(flat[_spread((np.cumsum(n) - n)[which], counts[-1])])
+        before = np.concatenate(([0], np.cumsum(np.concatenate(counts))))[cuts]
+        sizes = np.diff(before) + 1
+        out = np.full(int(sizes.sum()), end_id, np.uint32)
+        inner = np.ones(len(out), dtype=bool)
+        inner[np.cumsum(sizes) - 1] = False
+        if ids:
+            out[inner] = np.concatenate(ids)
+        return out, sizes
 
 
 @lru_cache(maxsize=1)
@@ -207,10 +261,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary:
             number, held, ids = number + 1, [], []
             return pa.RecordBatch.from_arrays(row, names=["part", "number", "n_ids", "doc_ids", "bytes"])
 
-        for some in slices(batches, 200):
+        for some in text_slices(batches, "text", SLICE_BYTES):
             held += some.column("doc_id").to_pylist()  # a slice would hold on to the whole batch
             kind = some.column("doc_id").type
-            ids.append(encoder(some.column("text").to_pylist(), end_id))
+            ids.append(encoder(some.column("text"), end_id))
             if sum(len(x) for x, _ in ids) >= segment_ids:
                 yield segment()
         if held:

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -265,7 +266,7 @@ def test_word_encoder_is_the_plain_tokenizer():
     letters = "aAbZzéÉßİΣς'sSt.,!$<|>09 \n\t  ́̌JjhHtT中文😀_-"
     for _ in range(4):
         texts = ["", "<|endoftext|>x", "J̌", *("".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(500))]
-        ids, sizes = own(texts, 2)
+        ids, sizes = own(pa.array(texts), 2)
         for text, part in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
             assert part.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
 
