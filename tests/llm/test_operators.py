@@ -16,7 +16,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.llm import chat, mixing
+from loomline.llm import chat, mixing, toxicity
 from loomline.llm.decontaminate import find_leaks
 from loomline.llm.jaccard_join import similar_documents
 from loomline.llm.line_dedup import near_lines
@@ -308,6 +308,77 @@ def test_toxicity(spark, nothing):
     assert score_toxicity(frame, known.where("false")).where("predicted = 1").count() == 0
 
 
+def area(scores: np.ndarray, labels: np.ndarray) -> float:
+    """Under the curve of true against false positives."""
+    high, low = scores[labels == 1], scores[labels == 0]
+    return float(((high[:, None] > low).sum() + 0.5 * (high[:, None] == low).sum()) / (len(high) * len(low)))
+
+
+@pytest.mark.parametrize("size, least, found", [("0.01", 0.9, 0.4), ("0.1", 0.95, 0.75)])
+def test_toxicity_of_held_out_documents(spark, size, least, found):
+    folder = f"/root/testdata/sf{size}"
+    scored = score_toxicity(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    truth = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col("toxic").alias("truth"))
+    rows = scored.where("held_out").join(truth, "doc_id").where("truth is not null").select("score", "predicted", "truth").collect()
+    scores, predicted, labels = (np.array([r[k] for r in rows]) for k in range(3))
+    assert area(scores, labels) >= least
+    assert predicted[labels == 1].mean() >= found and labels[predicted == 1].mean() >= 0.85
+
+
+def test_toxicity_of_repeated_and_long_rows(spark):
+    rows = [(k, "vile word " * 5 if k % 2 else "good word " * 5, "en") for k in range(60)]
+    rows += [(1, "vile word " * 5, "en"), (100, "good word " * 200_000, "en"), (101, "good word " * 200_000 + "vile", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(101, 1)], "doc_id long, toxic int")
+    got = score_toxicity(frame, labels, sample_bytes=1 << 20).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    by_id = {r["doc_id"]: r["score"] for r in got}
+    assert by_id[101] > by_id[100] and by_id[1] > 0.5 > by_id[2]
+
+
+def test_gradient_of_the_classifier():
+    """Against differences of the loss, for every kind of parameter."""
+    rng, model = np.random.default_rng(2), toxicity.Model()
+    model.table = model.table.astype(np.float64) * 30
+    model.filters, model.out = {w: f.astype(np.float64) for w, f in model.filters.items()}, model.out.astype(np.float64)
+    model.bias = {w: rng.standard_normal(toxicity.FILTERS) * 0.1 + 0.5 for w in toxicity.WIDTHS}
+    length, labels = np.array([9, 1, 14]), np.array([1, 0, 0])
+    first = np.cumsum(length + toxicity.PAD) - (length + toxicity.PAD)
+    rows = np.zeros((int((length + toxicity.PAD).sum()), 4), np.int32)
+    for a, n in zip(first, length, strict=True):
+        rows[a : a + n] = rng.integers(1, toxicity.ROWS, (n, 4))
+
+    def loss() -> float:
+        logits = model.logits(rows, first, length)
+        return float(np.logaddexp(0, np.where(labels == 1, -logits, logits)).mean())
+
+    by_width, by_out, by_shift, row, by_row = model.gradient(rows, first, length, labels)
+
+    def difference(array: np.ndarray, at: tuple) -> float:
+        step, was = 1e-5, array[at]
+        array[at] = was + step
+        up = loss()
+        array[at] = was - step
+        down = loss()
+        array[at] = was
+        return (up - down) / (2 * step)
+
+    for w in toxicity.WIDTHS:
+        for at in np.ndindex(*model.filters[w].shape):
+            assert difference(model.filters[w], at) == pytest.approx(by_width[w][0][at], abs=1e-6)
+        for k in range(toxicity.FILTERS):
+            assert difference(model.bias[w], (k,)) == pytest.approx(by_width[w][1][k], abs=1e-6)
+    for k in range(len(model.out)):
+        assert difference(model.out, (k,)) == pytest.approx(by_out[k], abs=1e-6)
+    for k in range(0, len(row), 3):
+        for d in range(toxicity.SIZE):
+            assert difference(model.table, (row[k], d)) == pytest.approx(by_row[k, d], abs=1e-6)
+    model.shift += 1e-5
+    up = loss()
+    model.shift -= 2e-5
+    assert (up - loss()) / 2e-5 == pytest.approx(by_shift, abs=1e-6)
+
+
 def test_lines(spark, nothing):
     rng = random.Random(5)
     line = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
