@@ -1,6 +1,7 @@
 """Tool calls of conversations: linked to their results, put in order, checked against schemas and serialised.
 
-Calls and results meet by a hash join on conversation and identifier, after repeated ones are folded before the shuffle.
+Calls and results meet by a shuffled hash join on conversation and identifier, after repeated ones are folded before
+the shuffle, so a key has one row on either side and a partition's table holds no hot key.
 The order is the level of each call: 0 without a dependency, else one more than the highest level it depends on. Levels
 come from rounds over the edges not yet settled; in each round an edge to a call that itself has a single dependency
 is lengthened over it, so a chain of n calls takes about log2(n) rounds. All of it is DataFrame functions.
@@ -86,7 +87,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     rules = schemas.where("name is not null and field is not null").groupBy("name").agg(F.array_sort(F.collect_set(F.struct("field", "kind", "required"))).alias("fields"))
     rules = F.broadcast(rules) if rules.limit(BROADCAST_TOOLS + 1).count() <= BROADCAST_TOOLS else rules
     ordered = levels(folded.select(*KEY), edges)
-    linked = folded.join(ordered, KEY).join(found, KEY, "full_outer").join(rules, "name", "left")
+    linked = folded.join(ordered, KEY).join(found.hint("shuffle_hash"), KEY, "full_outer").join(rules, "name", "left")
     linked = linked.withColumn("args", F.try_parse_json("arguments")).withColumn("n_calls", F.coalesce("n_calls", F.lit(0)).cast("long")).withColumn("n_results", F.coalesce("n_results", F.lit(0)).cast("long"))
     linked = linked.withColumn("cells", F.coalesce(F.try_variant_get("args", "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
     linked = linked.withColumn("errors", F.when(F.col("n_calls") == 0, F.array(F.lit("call"))).otherwise(_errors()))

@@ -3,30 +3,39 @@
 Groups of equal texts, sorted by their size, go one after the other to the least-loaded shard of a heap. Groups of
 one size are interchangeable, so the schedule needs only how many groups there are of each size: the heap then hands
 out whole counts, which is the same schedule as one group at a time. Distinct sizes with a sum of T are fewer than the
-square root of 2 T, so this table is small where the groups are billions. Each group finds its shard by its rank among
+square root of 2 T; the driver reads them in order, a partition at a time, holds the loads of the shards alone, and
+writes the schedule to shared storage in pieces of PIECE rows. Each group finds its shard by its rank among
 the groups of its size; ranks and slots come from counts by bucket, not from one window over all rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.llm.shared import checkpoint_dir
+
 #: Rows for which another bucket is added.
 BUCKET_ROWS = 1 << 20
+#: Rows of the schedule that the driver holds at once.
+PIECE = 100_000
+SCHEDULE = "group_size long, shard int, first long, end long"
 
 
-def lpt_counts(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
-    """(size, shard, first rank, end rank) of groups given as (size, number of groups), the largest first.
+def lpt_counts(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, int, int, int]]:
+    """(size, shard, first rank, end rank) of groups given as (size, number of groups), the largest size first.
 
     A shard of load x takes groups of one size at the levels x, x + size, x + 2 size and so on; popping a heap takes the
     n lowest levels of all shards, ties by the number of the shard. For few groups the heap itself is run; for many,
     the level up to which all are taken is found by bisection, which gives the same counts.
     """
-    loads, out = [0] * shards, []
-    for size, n in sorted(sizes, reverse=True):
+    loads = [0] * shards
+    for size, n in sizes:
         given = [0] * shards
         if n > 8 * shards:
             low, high = min(loads) - 1, max(loads) + size * n
@@ -46,10 +55,22 @@ def lpt_counts(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int
         at = 0
         for k, g in enumerate(given):
             if g:
-                out.append((size, k, at, at + g))
+                yield size, k, at, at + g
             at += g
             loads[k] += g * size
-    return out
+
+
+def _schedule(by_size: DataFrame, shards: int) -> DataFrame:
+    """lpt_counts of (group_size, n) as a table; more than one piece goes through shared storage."""
+    spark, folder = by_size.sparkSession, None
+    rows = ((r["group_size"], r["n"]) for r in by_size.orderBy(F.desc("group_size")).toLocalIterator())
+    for k, piece in enumerate(batched(lpt_counts(rows, shards), PIECE)):
+        found = spark.createDataFrame(list(piece), SCHEDULE)
+        if k == 0 and len(piece) < PIECE:
+            return found
+        folder = folder or f"{checkpoint_dir(spark)}/loomline-schedule-{uuid.uuid4().hex}"
+        found.write.parquet(f"{folder}/piece={k}")
+    return spark.read.parquet(folder).select("group_size", "shard", "first", "end") if folder else spark.createDataFrame([], SCHEDULE)
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -61,7 +82,6 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    spark = docs.sparkSession
     value = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(value).cast("long") + 1).alias("size"), F.crc32(value.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(value, 256)).alias("group"))
     n_buckets = docs.count() // BUCKET_ROWS + 1
@@ -69,8 +89,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id
     groups = rows.groupBy("group").agg(F.sum("size").alias("group_size")).withColumn("bucket", bucket)
     counts = groups.groupBy("group_size", "bucket").agg(F.count("*").alias("n"))
     by_size = counts.groupBy("group_size").agg(F.sum("n").alias("n"))
-    ranges = lpt_counts([(r["group_size"], r["n"]) for r in by_size.toLocalIterator()], shards)
-    plan = spark.createDataFrame(ranges, "group_size long, shard int, first long, end long")
+    plan = _schedule(by_size, shards)
     order = Window.partitionBy("group_size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
     rank = F.row_number().over(Window.partitionBy("group_size", "bucket").orderBy("group")) - 1

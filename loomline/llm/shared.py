@@ -21,10 +21,12 @@ PASS_BYTES = 1 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; an own one only where it is unset, as in tests."""
+    """The cluster's shared folder from spark.checkpoint.dir; an own one only where that is unset and Spark runs locally, as in tests."""
     context = spark.sparkContext
     found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="loomline-checkpoints-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)

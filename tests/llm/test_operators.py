@@ -16,7 +16,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.llm import chat, mixing, toxicity
+from loomline.llm import chat, mixing, sharding, toxicity
 from loomline.llm.decontaminate import find_leaks
 from loomline.llm.jaccard_join import similar_documents
 from loomline.llm.line_dedup import near_lines
@@ -203,7 +203,7 @@ def test_longest_processing_time_is_that_of_a_plain_heap():
                 load, k = heapq.heappop(heap)
                 heapq.heappush(heap, (load + size, k))
         loads = [0] * shards
-        for size, k, a, b in lpt_counts(list(sizes.items()), shards):
+        for size, k, a, b in lpt_counts(sorted(sizes.items(), reverse=True), shards):
             loads[k] += size * (b - a)
         assert sorted(loads) == sorted(x for x, _ in heap)
 
@@ -222,6 +222,13 @@ def test_sharding(docs, nothing):
     assert shard_documents(nothing).count() == 0
 
 
+def test_schedule_in_pieces(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "x" * (k % 37)) for k in range(200)], "doc_id long, text string")
+    whole = sorted(map(tuple, shard_documents(docs, 4).collect()))
+    monkeypatch.setattr(sharding, "PIECE", 5)
+    assert sorted(map(tuple, shard_documents(docs, 4).collect())) == whole
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     points = rng.standard_normal((400, 16)).round(3)
@@ -477,6 +484,29 @@ def test_chat(spark):
     assert all(json.loads(r["json"]) for r in got.values())
 
 
+CALLS, RESULTS, SCHEMAS = "conv_id string, call_id string, name string, arguments string, after array<string>, json string", "conv_id string, call_id string, content string, valid int", "name string, field string, kind string, required boolean"
+
+
+def test_chat_of_empty_tables_and_deep_arguments(spark):
+    depth = 200
+    deep = '{"x": ' + '{"b": 1, "a": ' * depth + '"é"' + "}" * depth + "}"
+    long = json.dumps({"x": "w " * 200_000})
+    calls = spark.createDataFrame([("c", "a", "t", deep, None, "j"), ("c", "b", "t", long, ["a", "a", "b0"], "j"), ("d", "a", None, "[1]", [], None)], CALLS)
+    results, schemas = spark.createDataFrame([("c", "b", None, 1)], RESULTS), spark.createDataFrame([("t", "x", "any", True)], SCHEMAS)
+    got = {(r["conv_id"], r["call_id"]): r for r in chat.link_calls(calls, results, schemas).collect()}
+    assert {k: (r["level"], r["n_results"], r["valid"]) for k, r in got.items()} == {("c", "a"): (0, 0, True), ("c", "b"): (1, 1, True), ("d", "a"): (0, 0, False)}
+    assert json.loads(got["c", "b"]["json"])["arguments"] == json.loads(long) and '{"a":{"a":' in got["c", "a"]["json"]
+    none = [spark.createDataFrame([], x) for x in (CALLS, RESULTS, SCHEMAS)]
+    assert chat.link_calls(*none).count() == 0
+    assert [(r["n_calls"], r["errors"]) for r in chat.link_calls(none[0], results, none[2]).collect()] == [(0, ["call"])]
+    assert {tuple(r["errors"]) for r in chat.link_calls(calls, none[1], none[2]).collect()} == {("tool",), ("arguments",)}
+
+
+def test_calls_and_results_meet_by_a_hash_join(spark):
+    plan = chat.link_calls(*(spark.createDataFrame([], x) for x in (CALLS, RESULTS, SCHEMAS)))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "FullOuter" in plan.split("ShuffledHashJoin")[1].split("\n")[0]
+
+
 def test_levels_of_long_chains_and_joints(spark):
     rng = random.Random(1)
     deps = {k: ([k - 1] if k < 60 else rng.sample(range(k), 3)) if k else [] for k in range(90)}
