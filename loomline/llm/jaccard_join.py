@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.llm.components import connected_components
-from loomline.llm.shared import kept, mix, n_groups, passes, release, slices, text_buffer, window_hashes, word_hashes
+from loomline.llm.shared import kept, mix, n_groups, passes, release, slices, text_buffer, texts_in_batches, window_hashes, word_hashes
 
 BAND_GROWTH = 1.5
 #: So many different sets with one signature in one pass leave it as rows of their own instead of meeting in a bucket.
@@ -358,7 +358,7 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     and `doc_id` are read, so further columns may have any name. An empty table gives an empty result.
     """
     buckets = n_groups(docs, text, 8 << 20)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("row"))
+    rows = texts_in_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("row"))
 
     def message(batches):
         for batch in slices(batches):

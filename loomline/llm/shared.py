@@ -39,6 +39,19 @@ def kept(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+#: Bytes of one Arrow batch; the JVM and a Python worker each hold a few of them at once.
+BATCH_BYTES = 4 << 20
+
+
+def texts_in_batches(frame: DataFrame) -> DataFrame:
+    """The same frame; its session from now on sends rows to Python in batches of BATCH_BYTES, or fewer if it's set so."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", frame.sparkSession.conf
+    now = conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return frame
+
+
 def release() -> None:
     """Give memory that is free in this Python worker back to the system, as workers live on between tasks."""
     pa.default_memory_pool().release_unused()

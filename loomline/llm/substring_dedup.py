@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.shared import SECOND_BASE, n_groups, passes, release, text_buffer, window_hashes, word_hashes
+from loomline.llm.shared import SECOND_BASE, n_groups, passes, release, text_buffer, texts_in_batches, window_hashes, word_hashes
 
 MESSAGE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("once", pa.binary()), ("again", pa.binary())])
 ANSWER = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
@@ -80,7 +80,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     of their own and so repeat each other. An empty table gives an empty result.
     """
     groups = n_groups(docs, text)
-    rows = docs.select(
+    rows = texts_in_batches(docs).select(
         F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(groups)).cast("int").alias("chunk"),
         F.col(doc_id).alias("doc_id"),
         F.col(text).alias("text"),

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.shared import BYTE_BASE, WORD_BASE, checkpoint_dir, mix, powers, text_buffer, text_slices
+from loomline.llm.shared import BYTE_BASE, WORD_BASE, checkpoint_dir, mix, powers, text_buffer, text_slices, texts_in_batches
 
 MAGIC = b"LTS1"
 HEAD = struct.Struct("<4sIQQQQ")
@@ -245,7 +245,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, vocabulary:
     folder must not exist. An empty table gives a folder without segments.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = texts_in_batches(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // (32 << 20) + 1)
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
