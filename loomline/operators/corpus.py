@@ -93,9 +93,11 @@ def is_noise(sentence: Column) -> Column:
 
 
 def distinct_sentences(items: Column) -> Column:
-    """First of each sentence without regard to case, in order."""
-    first = lambda v: F.filter(v["items"], lambda s, i: F.array_position(v["keys"], F.get(v["keys"], i)) == i + 1)
-    return X.let(items, lambda it: X.let(F.struct(it.alias("items"), F.transform(it, lambda s: F.lower(s)).alias("keys")), first))
+    """First of each sentence without regard to case, in order: sorted by small form and place, so that repeats stand together."""
+    ranked = F.array_sort(F.transform(items, lambda s, i: F.struct(F.lower(s).alias("key"), i.alias("i"), s.alias("s"))))
+    first = lambda r: F.filter(r, lambda x, i: (i == 0) | (x["key"] != F.get(r, i - 1)["key"]))
+    back = lambda f: F.transform(F.array_sort(F.transform(f, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"])
+    return back(X.let(ranked, first))
 
 
 def clean_documents(docs: DataFrame, site: R.SiteRules | None = None, min_chars: int = 80) -> DataFrame:

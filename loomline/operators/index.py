@@ -20,7 +20,7 @@ def retrieval_text(url: Column, title: Column, text: Column, legacy_label: str =
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """n_docs and avg_len, in one row."""
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(X.tokens(F.col(text)))).alias("avg_len"))
+    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.regexp_count(F.lower(F.col(text)), F.lit("[a-z0-9]+"))).alias("avg_len"))
 
 
 def checked_broadcast(frame: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
@@ -31,10 +31,12 @@ def checked_broadcast(frame: DataFrame, limit: int = BROADCAST_TERMS) -> DataFra
 def postings(docs: DataFrame, text: str = "text", order: str = "ord", vocabulary: DataFrame | None = None) -> DataFrame:
     """(ord, term, tf, dl); with a vocabulary (term) only of its terms, so that nothing else is shuffled."""
     made = docs.select(F.col(order).alias("ord"), X.tokens(F.col(text)).alias("t"))
-    exploded = made.select("ord", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    # the outer form, so that no filter computes the tokens once more; semi join and grouping drop its nulls
+    exploded = made.select("ord", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).where("term is not null")
     if vocabulary is not None:
         exploded = exploded.join(checked_broadcast(vocabulary), "term", "left_semi")
-    return exploded.groupBy("ord", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    # dealt by document, so that whoever adds up postings of one needs no other shuffle
+    return exploded.repartition("ord").groupBy("ord", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
 def group_postings(docs: DataFrame, group: str, text: str = "text", order: str = "ord", first: int = 8, vocabulary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -64,11 +66,18 @@ def query_terms(queries: DataFrame, q: str = "q", text: str = "text") -> DataFra
 
 
 def bm25_scores(asked: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
-    """(q, ord, score) of all documents that hold a term of the query, rounded to 6 digits so that ties are ties everywhere."""
-    weighed = terms.join(document_frequency(terms), "term").crossJoin(F.broadcast(stats))
+    """(q, ord, score) of all documents that hold a term of the query, rounded to 6 digits so that ties are ties everywhere.
+
+    Query terms go to every task while there are few; scores then add up where the postings of a document lie, and only
+    the best of each task need be shuffled.
+    """
+    weighed = asked.join(document_frequency(terms), "term").crossJoin(F.broadcast(stats))
+    weighed = weighed.select("q", "term", "qtf", "avg_len", idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        weighed = F.broadcast(weighed)
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
-    weighed = weighed.select("ord", "term", (idf(F.col("n_docs"), F.col("df")) * share).alias("w"))
-    return weighed.join(asked, "term").groupBy("q", "ord").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score")).where("score > 0")
+    met = terms.join(weighed, "term").select("q", "ord", (F.col("idf") * share * F.col("qtf")).alias("w"))
+    return met.groupBy("q", "ord").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
 
 
 def top(scores: DataFrame, k: int, order: tuple[str, ...] = ("score", "ord"), name: str = "rank") -> DataFrame:

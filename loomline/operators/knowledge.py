@@ -39,18 +39,37 @@ def known_answers(questions: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def token_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a, b, shared, jaccard) of all pairs of (a, text) and (b, text) with a common token."""
-    left = a.select("a", F.array_distinct(X.tokens(F.col("text"))).alias("t")).select("a", F.size("t").alias("na"), F.explode("t").alias("term"))
-    right = b.select("b", F.array_distinct(X.tokens(F.col("text"))).alias("t")).select("b", F.size("t").alias("nb"), F.explode("t").alias("term"))
+    """(a, b, shared, jaccard) of all pairs of (a, text) and (b, text) with a common token that is no stop word."""
+    left = a.select("a", R.focus_terms(F.col("text")).alias("t")).select("a", F.size("t").alias("na"), F.explode("t").alias("term"))
+    right = b.select("b", R.focus_terms(F.col("text")).alias("t")).select("b", F.size("t").alias("nb"), F.explode("t").alias("term"))
     shared = left.join(right, "term").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     return shared.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
 
+def similar_sets(a: DataFrame, b: DataFrame, least_shared: int = MIN_SHARED, least_jaccard: float = MIN_JACCARD) -> DataFrame:
+    """token_overlap of the pairs with that many shared tokens and that similarity, without meeting all others.
+
+    With tokens in order of how rare they are, two sets of n and more tokens that are so similar share one of the first
+    n - least_jaccard * n + 1 of either, so only those rare tokens are joined; the pairs found are then verified.
+    """
+    sides = [f.select(F.col(n), R.focus_terms(F.col("text")).alias("t")).where(F.size("t") >= least_shared) for f, n in ((a, "a"), (b, "b"))]
+    terms = [f.select(n, F.size("t").alias("size"), F.explode("t").alias("term")) for f, n in zip(sides, "ab", strict=True)]
+    often = terms[0].select("term").unionByName(terms[1].select("term")).groupBy("term").agg(F.count("*").alias("df"))
+    rare = []
+    for f, n in zip(terms, "ab", strict=True):
+        rank = F.row_number().over(Window.partitionBy(n).orderBy("df", "term"))
+        rare.append(f.join(often, "term").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.lit(least_jaccard) * F.col("size") - 1e-9) + 1).select(n, "term"))
+    met = rare[0].join(rare[1], "term").select("a", "b").distinct()
+    both = met.join(sides[0].withColumnRenamed("t", "x"), "a").join(sides[1].withColumnRenamed("t", "y"), "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long"))
+    both = both.withColumn("jaccard", F.col("shared") / (F.size("x") + F.size("y") - F.col("shared")))
+    return both.where((F.col("shared") >= least_shared) & (F.col("jaccard") >= least_jaccard)).select("a", "b", "shared", "jaccard")
+
+
 def similar_answers(questions: DataFrame, known: DataFrame) -> DataFrame:
     """(q, answer, score) of the most similar known question (question, answer, ord) that is similar enough and whose
     types agree, where both have some; the first on ties."""
-    met = token_overlap(questions.select(F.col("q").alias("a"), "text"), known.select(F.col("ord").alias("b"), F.col("question").alias("text")))
-    met = met.where((F.col("shared") >= MIN_SHARED) & (F.col("jaccard") >= MIN_JACCARD))
+    met = similar_sets(questions.select(F.col("q").alias("a"), "text"), known.select(F.col("ord").alias("b"), F.col("question").alias("text")))
     met = met.join(questions.select(F.col("q").alias("a"), "text"), "a").join(known.select(F.col("ord").alias("b"), "question", "answer"), "b")
     mine, theirs = R.question_types(F.col("text")), R.question_types(F.col("question"))
     met = met.where((F.size(mine) == 0) | (F.size(theirs) == 0) | F.arrays_overlap(mine, theirs))
@@ -60,7 +79,10 @@ def similar_answers(questions: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def hint_urls(questions: DataFrame, known: DataFrame, k: int = 3) -> DataFrame:
-    """(q, url, score, rank) of the pages of the most similar known questions (question, url, ord)."""
+    """(q, url, score, rank) of the pages of the most similar known questions (question, url, ord).
+
+    Two shared tokens are enough, so all pairs with a common token meet: known questions are a list, not a corpus.
+    """
     met = token_overlap(questions.select(F.col("q").alias("a"), "text"), known.select(F.col("ord").alias("b"), F.col("question").alias("text")))
     met = met.withColumn("score", F.round(F.col("shared") + 2.0 * F.col("jaccard"), 6)).where(F.col("score") >= MIN_HINT)
     met = met.join(known.select(F.col("ord").alias("b"), "url"), "b").withColumn("key", U.key(F.col("url")))
@@ -73,7 +95,6 @@ def without_leaks(known: DataFrame, evaluated: DataFrame) -> DataFrame:
     """Known rows (question, ord, ...) with `leaked`: the question is an evaluated one (q, text), or similar to one."""
     keys = evaluated.select(X.question_key(F.col("text")).alias("key")).distinct()
     exact = known.withColumn("key", X.question_key(F.col("question"))).join(keys, "key", "left_semi").select("ord")
-    near = token_overlap(evaluated.select(F.col("q").alias("a"), "text"), known.select(F.col("ord").alias("b"), F.col("question").alias("text")))
-    near = near.where((F.col("shared") >= MIN_SHARED) & (F.col("jaccard") >= MIN_JACCARD)).select(F.col("b").alias("ord"))
+    near = similar_sets(evaluated.select(F.col("q").alias("a"), "text"), known.select(F.col("ord").alias("b"), F.col("question").alias("text"))).select(F.col("b").alias("ord"))
     found = exact.unionByName(near).distinct().withColumn("leaked", F.lit(True))
     return known.join(found, "ord", "left").withColumn("leaked", F.coalesce("leaked", F.lit(False)))

@@ -156,14 +156,15 @@ def answers(questions: DataFrame, retrieved: DataFrame, known: DataFrame | None
         out = named if out is None else out.unionByName(named)
         left = left.join(named.select("q"), "q", "left_anti")
 
+    def shaped(found: DataFrame) -> DataFrame:
+        return found.select("q", "answer").join(left, "q").select("q", postprocess(F.col("text"), F.col("answer")).alias("answer"))
+
     if known is not None:
         if exact:
-            settle(known_answers(left, known), "known")
-        settle(similar_answers(left, known).select("q", "answer"), "similar")
+            settle(shaped(known_answers(left, known)), "known")
+        settle(shaped(similar_answers(left, known)), "similar")
     open_ = retrieved.join(left.select("q"), "q", "left_semi")
     if reader is not None:
-        read = read_with(prompts(left, open_), reader).where("answer is not null").join(left, "q")
-        settle(read.select("q", postprocess(F.col("text"), F.col("answer")).alias("answer")), "read")
-    taken = extracted_answers(left, open_.join(left.select("q"), "q", "left_semi"), relations).join(left, "q")
-    settle(taken.select("q", postprocess(F.col("text"), F.col("answer")).alias("answer")), "extracted")
+        settle(shaped(read_with(prompts(left, open_), reader).where("answer is not null")), "read")
+    settle(shaped(extracted_answers(left, open_.join(left.select("q"), "q", "left_semi"), relations)), "extracted")
     return questions.select("q").join(out, "q", "left").select("q", F.coalesce("answer", F.lit("unknown")).alias("answer"), F.coalesce("how", F.lit("unknown")).alias("how"))

@@ -158,7 +158,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 8, hints: DataFra
     page_terms, page_stats = index.group_postings(docs, "url", "retrieval", vocabulary=vocabulary)
     pages = index.top(index.bm25_scores(asked, page_terms, page_stats), max(20, 6 * k)).select("q", F.col("ord").alias("url"), "score", "rank")
     pages = pages.join(base.select("q").distinct(), "q", "left_semi").persist()
-    fusion = fused(variants.where("pos > 0"), terms, stats).join(base.select("q").distinct(), "q", "left_semi")
+    fusion = fused(variants.where("pos > 0"), terms, stats, max(32, 12 * k)).join(base.select("q").distinct(), "q", "left_semi")
     body = docs.select("ord", "url", "title", "text", "retrieval")
     about = questions.select("q", question_features(F.col("text")).alias("asked"))
     named = {n: hosts[n] for n in ("legacy_host", "people_host", "help_host") if n in hosts}

@@ -9,7 +9,7 @@ from loomline.functions import rules as R
 from loomline.functions import text as X
 from loomline.operators import evaluate, index, knowledge, reader, retrieve
 from loomline.plans.retrieval import SQL_CHUNKS, SQL_INDEX, SQL_PAGES, WS, chunks, questions, sql_collapse, sql_tokens, sql_words
-from loomline.plans.texts import FOCUS, PUNCTUATION, sql_clean, sql_types
+from loomline.plans.texts import FOCUS, PUNCTUATION, sql_clean, sql_focus, sql_types
 from loomline.sources.tables import table
 
 C = F.col
@@ -45,8 +45,8 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKED = "asked AS (SELECT ord AS q, 'Well ' || question AS text FROM pairs)"
 OPTIONS = f"list_filter(list_transform(string_split(answer, '|'), lambda x: {sql_clean('x')}), lambda x: x <> '')"
 SHORTEST = f"coalesce((list_sort(list_transform({OPTIONS}, lambda o, i: {{'w': len({sql_words('o')}), 'n': length(o), 'i': i, 'o': o}}))[1]).o, 'unknown')"
-OVERLAP = f"""ta AS (SELECT q AS a, len(t) AS na, unnest(t) AS term FROM (SELECT q, list_distinct({sql_tokens('text')}) AS t FROM asked)),
-tb AS (SELECT ord AS b, len(t) AS nb, unnest(t) AS term FROM (SELECT ord, list_distinct({sql_tokens('question')}) AS t FROM pairs)),
+OVERLAP = f"""ta AS (SELECT q AS a, len(t) AS na, unnest(t) AS term FROM (SELECT q, list_distinct({sql_focus('text')}) AS t FROM asked)),
+tb AS (SELECT ord AS b, len(t) AS nb, unnest(t) AS term FROM (SELECT ord, list_distinct({sql_focus('question')}) AS t FROM pairs)),
 ov AS (SELECT a, b, count(*) AS shared, count(*) / (max(na) + max(nb) - count(*))::DOUBLE AS jaccard FROM ta JOIN tb USING (term) GROUP BY a, b)"""
 
 
@@ -64,14 +64,16 @@ def hint_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leakage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evaluated = _asked(spark, sf_dir).where(F.length("text") < 150)
+    """Known questions against all answers of assistants and all benchmark items as evaluated ones."""
+    told = table(spark, sf_dir, "conversations").where("role = 'assistant'").select((C("conv_id") * 1000 + C("turn")).alias("q"), "text")
+    evaluated = told.unionByName(questions(spark, sf_dir).select((-1 - C("q")).alias("q"), "text"))
     return knowledge.without_leaks(pairs(spark, sf_dir), evaluated).select("ord", "leaked")
 
 
 def question_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last turn of each role and beginning."""
-    turns = table(spark, sf_dir, "conversations").select("role", F.substring("text", 1, 3).alias("start"), (C("conv_id") * 1000 + C("turn")).alias("ord"), "text")
-    return knowledge.last_by_key(turns, ["role", "start"]).select("role", "start", "ord", F.length("text").cast("long").alias("n"))
+    """The last turn of each role and question key."""
+    turns = table(spark, sf_dir, "conversations").select("role", X.question_key(C("text")).alias("key"), (C("conv_id") * 1000 + C("turn")).alias("ord"), "text")
+    return knowledge.last_by_key(turns, ["role", "key"]).select("role", "key", "ord", F.length("text").cast("long").alias("n"))
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +107,7 @@ def squad_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir)
     one = asked.select("q", F.lit(1).alias("pos"), F.array_join(R.focus_list(C("text")), " ").alias("text"), F.lit(1.15).cast("double").alias("weight"))
-    return one.unionByName(asked.select("q", F.lit(2).alias("pos"), F.array_join(F.slice(X.tokens(C("text")), 1, 12), " ").alias("text"), F.lit(0.95).cast("double").alias("weight")))
+    return one.unionByName(asked.select("q", F.lit(2).alias("pos"), F.array_join(F.array_distinct(X.tokens(C("text"))), " ").alias("text"), F.lit(0.95).cast("double").alias("weight")))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -120,7 +122,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.fused(_variants(spark, sf_dir), terms, stats)
 
 
-FUSION = f"""vt AS (SELECT q, pos, term, count(*) AS qtf FROM (SELECT item_id AS q, 1 AS pos, unnest({FOCUS}) AS term FROM benchmark UNION ALL SELECT item_id, 2, unnest(({sql_tokens('text')})[1:12]) FROM benchmark) GROUP BY ALL),
+FUSION = f"""vt AS (SELECT q, pos, term, count(*) AS qtf FROM (SELECT item_id AS q, 1 AS pos, unnest({FOCUS}) AS term FROM benchmark UNION ALL SELECT item_id, 2, unnest(list_distinct({sql_tokens('text')})) FROM benchmark) GROUP BY ALL),
 vs AS (SELECT q, pos, ord, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_len)) * qtf), 6) AS score FROM vt JOIN tf USING (term) JOIN df USING (term), st GROUP BY q, pos, ord),
 vr AS (SELECT *, row_number() OVER (PARTITION BY q, pos ORDER BY score DESC, ord DESC) AS rank FROM vs),
 fus AS (SELECT q, ord, round(sum(CASE pos WHEN 1 THEN 1.15::DOUBLE ELSE 0.95::DOUBLE END / (10 + rank)), 6) AS fusion FROM vr WHERE rank <= 96 GROUP BY q, ord)"""
@@ -208,8 +210,8 @@ HITS = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS kind, unnest(range(len(h))):
 
 
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best page of an item as its gold page, its first 30 letters as gold answer."""
-    gold = _pages(spark, sf_dir).where("rank = 1").select("q", F.concat(F.lit("u/"), "url", F.lit("/")).alias("url")).join(questions(spark, sf_dir).select("q", F.substring("text", 1, 30).alias("answer")), "q")
+    """The best page of an item as its gold page, its text as gold answer."""
+    gold = _pages(spark, sf_dir).where("rank = 1").select("q", F.concat(F.lit("u/"), "url", F.lit("/")).alias("url")).join(questions(spark, sf_dir).select("q", C("text").alias("answer")), "q")
     return evaluate.recall(gold, _top(spark, sf_dir).select("q", "url", "text"))
 
 
@@ -219,7 +221,7 @@ def conditional_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOP8 = "top8 AS (SELECT q, base.rank, source, text, 'u/' || source AS url FROM base JOIN chunks USING (ord) WHERE base.rank <= 8)"
-RECALL = f"""gold AS (SELECT p.q, 'u/' || p.source AS url, {sql_norm('substr(b.text, 1, 30)')} AS a FROM pages_top p JOIN benchmark b ON b.item_id = p.q WHERE p.rank = 1),
+RECALL = f"""gold AS (SELECT p.q, 'u/' || p.source AS url, {sql_norm('b.text')} AS a FROM pages_top p JOIN benchmark b ON b.item_id = p.q WHERE p.rank = 1),
 rec AS (SELECT gold.q, coalesce(max((top8.url = gold.url)::INT), 0) = 1 AS url_found, coalesce(max(contains({sql_norm('top8.text')}, a)::INT), 0) = 1 AS answer_found FROM gold LEFT JOIN top8 USING (q) GROUP BY gold.q)"""
 WITH = f"WITH {SQL_CHUNKS}, {SQL_INDEX}"
 
@@ -227,8 +229,8 @@ QUERIES = {
     "known_answer_exact": (known_exact, f"WITH {PAIRS}, k AS (SELECT ord, answer, trim(regexp_replace(lower('x: ' || question), '[^a-z0-9]+', ' ', 'g')) AS key FROM pairs), f AS (SELECT key, arg_min(answer, ord) AS answer FROM k GROUP BY key) SELECT k.ord AS q, {SHORTEST} AS answer FROM (SELECT k.ord, f.answer FROM k JOIN f USING (key)) k"),
     "known_answer_similar": (known_similar, f"WITH {PAIRS}, {ASKED}, {OVERLAP}, c AS (SELECT a AS q, b, round(shared + 3 * jaccard, 6) AS score FROM ov WHERE shared >= 5 AND jaccard >= 0.68), t AS (SELECT c.*, x.text, p.question, p.answer FROM c JOIN asked x ON x.q = c.q JOIN pairs p ON p.ord = c.b), g AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, b) AS n FROM t WHERE len({sql_types('text')}) = 0 OR len({sql_types('question')}) = 0 OR len(list_intersect({sql_types('text')}, {sql_types('question')})) > 0) SELECT q, {SHORTEST} AS answer, score FROM g WHERE n = 1"),
     "hint_urls": (hint_urls, f"WITH {PAIRS}, {ASKED}, {OVERLAP}, c AS (SELECT a AS q, url, round(shared + 2 * jaccard, 6) AS score FROM ov JOIN pairs ON pairs.ord = ov.b WHERE round(shared + 2 * jaccard, 6) >= 2), m AS (SELECT q, url, max(score) AS score FROM c GROUP BY q, url), r AS (SELECT *, (row_number() OVER (PARTITION BY q ORDER BY score DESC, url DESC))::INT AS rank FROM m) SELECT * FROM r WHERE rank <= 3"),
-    "leakage_guard": (leakage_guard, f"WITH {PAIRS}, {ASKED.replace('FROM pairs', 'FROM pairs WHERE length(question) + 5 < 150')}, {OVERLAP} SELECT ord, ord IN (SELECT b FROM ov WHERE shared >= 5 AND jaccard >= 0.68) OR trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) IN (SELECT trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) FROM asked) AS leaked FROM pairs"),
-    "question_index": (question_index, "SELECT role, substr(text, 1, 3) AS start, max(conv_id * 1000 + turn) AS ord, length(arg_max(text, conv_id * 1000 + turn)) AS n FROM conversations GROUP BY ALL"),
+    "leakage_guard": (leakage_guard, f"WITH {PAIRS}, asked AS (SELECT conv_id * 1000 + turn AS q, text FROM conversations WHERE role = 'assistant' UNION ALL SELECT -1 - item_id, text FROM benchmark), {OVERLAP} SELECT ord, ord IN (SELECT b FROM ov WHERE shared >= 5 AND jaccard >= 0.68) OR trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) IN (SELECT trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) FROM asked) AS leaked FROM pairs"),
+    "question_index": (question_index, "SELECT role, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS key, max(conv_id * 1000 + turn) AS ord, length(arg_max(text, conv_id * 1000 + turn)) AS n FROM conversations GROUP BY ALL"),
     "em_f1_detail": (em_f1_detail, f"WITH {PAIRS}, {DETAILS} SELECT * FROM det"),
     "em_f1_summary": (em_f1_summary, f"WITH {PAIRS}, {DETAILS} SELECT count(*) AS count, round(avg(exact_match), 6) AS exact_match, round(avg(f1), 6) AS f1, round(round(avg(exact_match), 6) * 100, 2) AS exact_match_percent FROM det"),
     "squad_eval": (squad_eval, f"WITH {PAIRS} SELECT ord::VARCHAR AS id, CASE WHEN ord % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS exact_match, CASE WHEN ord % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS f1, ord % 3 = 0 AS missing FROM pairs"),

@@ -140,7 +140,7 @@ def exclude_urls_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def iaa_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir)
-    questions = rows.select(F.substring("text", 1, 40).alias("question"), F.concat("url", F.lit("#q")).alias("url"), F.substring("text", 41, 40).alias("answer"), "ord")
+    questions = rows.select(C("text").alias("question"), F.concat("url", F.lit("#q")).alias("url"), F.reverse("text").alias("answer"), "ord")
     metadata = questions.join(table(spark, sf_dir, "labels").select(C("doc_id").alias("ord"), (C("quality") == 0).alias("needs_second_annotation")), "ord").select(C("ord").alias("id"), "question", "url", "needs_second_annotation")
     return annotate.second_annotation(metadata, questions)
 
@@ -149,7 +149,7 @@ def iaa_blind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.blind(iaa_subset(spark, sf_dir))
 
 
-IAA = "SELECT l.doc_id AS id, substr(d.text, 1, 40) AS question, url || '#q' AS url{} FROM docs d JOIN labels l ON l.doc_id = d.ord WHERE quality = 0"
+IAA = "SELECT l.doc_id AS id, d.text AS question, url || '#q' AS url{} FROM docs d JOIN labels l ON l.doc_id = d.ord WHERE quality = 0"
 CLEANED = f"""cut AS (SELECT ord, {CUT.format(x='t', m=SITE.navigation_markers[0], ws=WS)} AS t FROM (SELECT ord, {sql_plain('text')} AS t FROM docs)),
 cut2 AS (SELECT ord, {CUT.format(x='t', m=SITE.navigation_markers[1], ws=WS)} AS t FROM cut),
 sents AS (SELECT ord, i, s FROM (SELECT ord, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM (SELECT ord, {sql_sentences(f"replace(replace(t, '{SITE.inline_noise[0]}', ' '), '{SITE.inline_noise[1]}', ' ')")} AS ss FROM cut2)) WHERE NOT {NOISE}),
@@ -178,6 +178,6 @@ QUERIES = {
     "worklist": (worklist, None),
     "question_ideas": (question_ideas, f"WITH {DOCS}, i AS (SELECT ord, {IDEAS} AS x FROM (SELECT *, {PAGE_TYPE} AS k FROM docs)), j AS (SELECT ord, list_filter(x, lambda v, n: list_position(x, v) = n) AS y FROM i) SELECT ord, CASE WHEN len(y) = 0 THEN '{annotate.GENERAL}' ELSE array_to_string(y[1:3], '; ') END AS ideas FROM j"),
     "exclude_urls_anti": (exclude_urls_anti, f"WITH {DOCS} SELECT ord, url FROM docs WHERE ord NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)"),
-    "iaa_subset": (iaa_subset, f"WITH {DOCS} " + IAA.format(", substr(d.text, 41, 40) AS answer")),
+    "iaa_subset": (iaa_subset, f"WITH {DOCS} " + IAA.format(", reverse(d.text) AS answer")),
     "iaa_blind": (iaa_blind, f"WITH {DOCS} " + IAA.format(", '' AS second_annotator_answer, '' AS second_annotator_evidence, '' AS notes")),
 }

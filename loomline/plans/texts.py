@@ -38,12 +38,18 @@ def sql_clean(x: str) -> str:
 
 
 def said(text):
-    return F.concat(F.lit('**Short answer: The answer is "'), F.substring(text, 1, 80), F.lit('" (see a @ b . org).'))
+    return F.concat(F.lit('**Short answer: The answer is "'), text, F.lit('" (see a @ b . org).'))
 
 
-SAID = "'**Short answer: The answer is \"' || substr(text, 1, 80) || '\" (see a @ b . org).'"
+SAID = "'**Short answer: The answer is \"' || text || '\" (see a @ b . org).'"
 STOP = "[" + ", ".join(f"'{w}'" for w in R.STOP_WORDS) + "]"
-FOCUS = f"list_filter({sql_tokens('text')}, lambda t: NOT list_contains({STOP}, t))"
+
+
+def sql_focus(x: str) -> str:
+    return f"list_filter({sql_tokens(x)}, lambda t: NOT list_contains({STOP}, t))"
+
+
+FOCUS = sql_focus("text")
 
 
 def sql_types(x: str) -> str:
@@ -80,7 +86,7 @@ def varied(*make: Callable[[], list]) -> Callable[[SparkSession, str], DataFrame
 def _retrieval_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(*_varied(), "html")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return pages.select("page_id", index.retrieval_text(F.col("url"), title, F.substring("html", 1, 200)).alias("t"))
+    return pages.select("page_id", index.retrieval_text(F.col("url"), title, F.col("html")).alias("t"))
 
 
 C = F.col
@@ -93,7 +99,7 @@ QUERIES = {
     "answer_options": (over("conversations", lambda: [C("conv_id"), C("turn"), F.array_join(X.answer_options(F.regexp_replace(C("text"), r"\.", " | ")), "/").alias("options"), F.size(X.gold_answers(F.regexp_replace(C("text"), r"\.", " | "))).cast("long").alias("n_gold")]), f"SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(replace(text, '.', ' | '), '|'), lambda x: {sql_clean('x')}), lambda x: x <> ''), '/') AS options, len(list_filter(string_split(replace(text, '.', ' | '), '|'), lambda x: {sql_collapse('x')} <> '')) AS n_gold FROM conversations"),
     "infer_title_words": (over("documents", lambda: [C("doc_id"), X.title_words(F.lit(" "), C("text")).alias("title")]), f"SELECT doc_id, array_to_string(({sql_words(chr(39).join(['regexp_split_to_array(text, ', '[.!?]', ')[1]']))})[1:16], ' ') AS title FROM documents"),
     "preview_text": (over("documents", lambda: [C("doc_id"), X.preview(C("text")).alias("preview")]), f"SELECT doc_id, CASE WHEN length({sql_collapse('text')}) <= 260 THEN {sql_collapse('text')} ELSE rtrim(substr({sql_collapse('text')}, 1, 257)) || '...' END AS preview FROM documents"),
-    "yes_no": (over("documents", lambda: [C("doc_id"), X.yes_no(F.concat_ws(" ", F.get(F.array(*[F.lit(x) for x in ("Yes", "that does not", "maybe", "without it")]), F.pmod(C("doc_id"), F.lit(4)).cast("int")), F.substring("text", 1, 50))).alias("answer")]), "SELECT doc_id, CASE WHEN " + " OR ".join(f"contains(p, '{c}')" for c in X.NEGATIVE_CUES) + " THEN 'No' WHEN contains(p, ' yes ') THEN 'Yes' END AS answer FROM (SELECT doc_id, ' ' || lower(['Yes', 'that does not', 'maybe', 'without it'][(doc_id % 4 + 1)::INT] || ' ' || substr(text, 1, 50)) || ' ' AS p FROM documents)"),
+    "yes_no": (over("documents", lambda: [C("doc_id"), X.yes_no(F.concat_ws(" ", F.get(F.array(*[F.lit(x) for x in ("Yes", "that does not", "maybe", "without it")]), F.pmod(C("doc_id"), F.lit(4)).cast("int")), "text")).alias("answer")]), "SELECT doc_id, CASE WHEN " + " OR ".join(f"contains(p, '{c}')" for c in X.NEGATIVE_CUES) + " THEN 'No' WHEN contains(p, ' yes ') THEN 'Yes' END AS answer FROM (SELECT doc_id, ' ' || lower(['Yes', 'that does not', 'maybe', 'without it'][(doc_id % 4 + 1)::INT] || ' ' || text) || ' ' AS p FROM documents)"),
     "course_and_degree": (over("documents", lambda: [C("doc_id"), X.course_code(F.concat(F.lit("cs - "), F.pmod(C("doc_id"), F.lit(1000)).cast("string"), F.lit("B"))).alias("course"), X.degree_text(F.concat(F.lit("the M S or b.a. "), C("doc_id").cast("string"))).alias("degree")]), "SELECT doc_id, 'CS ' || (doc_id % 1000) || 'B' AS course, 'the M.S. or B.A. ' || doc_id AS degree FROM documents"),
     "question_types": (over("documents", lambda: [C("doc_id"), F.array_join(R.question_types(C("text")), ",").alias("types")]), f"SELECT doc_id, array_to_string({sql_types('text')}, ',') AS types FROM documents"),
     "focus_terms": (over("benchmark", lambda: [C("item_id"), F.array_join(F.array_sort(R.focus_terms(C("text"))), " ").alias("terms"), F.array_join(R.focus_list(C("text")), " ").alias("in_order")]), f"SELECT item_id, array_to_string(list_sort(list_distinct({FOCUS})), ' ') AS terms, array_to_string({FOCUS}, ' ') AS in_order FROM benchmark"),
@@ -105,5 +111,5 @@ QUERIES = {
     "url_families": (varied(lambda: [C("page_id"), *[U.family(C("url"), n).alias(n) for n in U.FAMILIES]]), "SELECT page_id, " + ", ".join("(" + " OR ".join(f"contains(lower(url), '{c}')" for c in cues) + f") AS {n}" for n, cues in U.FAMILIES.items()) + f" FROM {VARIED}"),
     "page_type": (varied(lambda: [C("page_id"), U.page_type(C("url")).alias("page_type")]), f"SELECT page_id, {PAGE_TYPE} AS page_type FROM {VARIED}"),
     "slug_title": (varied(lambda: [C("page_id"), U.slug_title(C("url")).alias("title")]), None),
-    "retrieval_text": (_retrieval_text, f"SELECT page_id, {sql_collapse(f'concat_ws({chr(39)} {chr(39)}, t, t, {HOST_TERMS}, {PATH_TERMS}, {FEATURES}, substr(html, 1, 200))')} AS t FROM (SELECT page_id, url, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM {VARIED})"),
+    "retrieval_text": (_retrieval_text, f"SELECT page_id, {sql_collapse(f'concat_ws({chr(39)} {chr(39)}, t, t, {HOST_TERMS}, {PATH_TERMS}, {FEATURES}, html)')} AS t FROM (SELECT page_id, url, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM {VARIED})"),
 }
