@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.functions.rules import SiteRules
-from loomline.operators import annotate, corpus, evaluate, reader, retrieve
+from loomline.functions.rules import RELATIONS, SiteRules
+from loomline.operators import annotate, corpus, evaluate, knowledge, reader, retrieve
 from loomline.session import local_session
 from loomline.sources import files
 
@@ -30,13 +33,17 @@ def parser() -> argparse.ArgumentParser:
     own.add_argument("--top-k", type=int, default=8)
     own.add_argument("--chunk-size", type=int, default=140)
     own.add_argument("--chunk-overlap", type=int, default=30)
+    own.add_argument("--site", help="a JSON file of site rules: deny_urls, navigation_markers, inline_noise, relations, hosts")
+    own.add_argument("--reader", help="module:function that takes a system prompt and a prompt; without one, answers are extracted")
     own = command("evaluate", "references", "predictions")
     own.add_argument("--questions", help="the questions that the predictions answer, in their order")
     own.add_argument("--details-out")
     own.add_argument("--allow-prefix", action="store_true")
+    own.add_argument("--first", type=int, help="score only so many references, the first")
     own = command("filter", "crawl", "out")
     own.add_argument("--deny", action="append", default=[])
-    command("clean", "crawl", "documents", "chunks")
+    own = command("clean", "crawl", "documents", "chunks")
+    own.add_argument("--site")
     own = command("worklist", "documents", "out")
     own.add_argument("--exclude")
     own.add_argument("--limit", type=int, default=45)
@@ -49,13 +56,34 @@ def _show(frame: DataFrame) -> None:
     print(frame.select(F.to_json(F.struct("*"))).first()[0])
 
 
+def site_rules(path: str | None) -> SiteRules:
+    """Site rules of a JSON file; what it doesn't name is empty."""
+    if not path:
+        return SiteRules()
+    fixed = lambda x: tuple(map(fixed, x)) if isinstance(x, list) else x
+    return SiteRules(**{k: fixed(v) for k, v in json.loads(Path(path).read_text()).items()})
+
+
+def named_function(name: str | None):
+    """The function of module:function."""
+    if not name:
+        return None
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def answer(spark: SparkSession, args: argparse.Namespace) -> None:
     chunks = files.read_corpora(spark, [args.corpus], args.supplement, size=args.chunk_size, overlap=args.chunk_overlap)
     chunks = corpus.chunk_dedup(chunks.withColumn("ord", F.monotonically_increasing_id()).persist())
     questions = files.read_questions(spark, args.questions).select(F.col("pos").alias("q"), F.col("question").alias("text"))
-    found = retrieve.retrieve(chunks, questions, args.top_k)
-    known = files.read_knowledge(spark, args.known) if args.known else None
-    told = reader.answers(questions, found, known, exact=args.use_known_answers)
+    site, known = site_rules(args.site), files.read_knowledge(spark, args.known) if args.known else None
+    hints = knowledge.hint_urls(questions, known.where("url <> ''")).select("q", "url") if known is not None else None
+    hosts = {"legacy_label": site.legacy_host_label, "legacy_host": site.legacy_host, "people_host": site.people_host, "help_host": site.help_host}
+    found = retrieve.retrieve(chunks, questions, args.top_k, hints, **hosts)
+    # what was retrieved is written beside the predictions, so that reading starts from a short plan
+    found.write.mode("overwrite").parquet(f"{args.predictions}-retrieved")
+    found = spark.read.parquet(f"{args.predictions}-retrieved")
+    told = reader.answers(questions, found, known, args.use_known_answers, named_function(args.reader), RELATIONS + site.relations)
     files.write_lines(told, args.predictions, "answer", "q")
 
 
@@ -68,6 +96,8 @@ def evaluate_(spark: SparkSession, args: argparse.Namespace) -> None:
         # lists of questions are small; blank lines between them don't count
         references = files.read_qa(spark, args.references).withColumn("pos", F.row_number().over(Window.orderBy("pos")) - 1)
         scored = evaluate.details(evaluate.by_position(references, files.read_predictions(spark, args.predictions), args.allow_prefix))
+    if args.first is not None:
+        scored = scored.orderBy("pos").limit(args.first) if "pos" in scored.columns else scored.limit(args.first)
     if args.details_out:
         files.write_jsonl(scored, args.details_out)
     _show(evaluate.summary(scored))
@@ -82,7 +112,7 @@ def filter_(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def clean(spark: SparkSession, args: argparse.Namespace) -> None:
     raw = files.read_raw(spark, args.crawl)
-    documents = corpus.clean_documents(raw, SiteRules()).persist()
+    documents = corpus.clean_documents(raw, site_rules(args.site)).persist()
     chunks = corpus.sentence_chunks(documents)
     files.write_jsonl(documents, args.documents)
     files.write_jsonl(chunks, args.chunks)

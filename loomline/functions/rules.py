@@ -65,42 +65,40 @@ TYPED = (
     ("person", NAME, 5.0),
 )
 
-#: (cues of which all must be in the question, cues of which one must start it, pattern, slot, bonus) of relation candidates.
-#: A slot is filled from the question: a year range, or the name of a person.
+#: (groups of cues, of each of which one must be in the question, or start it where it is written with ^; pattern, slot, bonus)
+#: of relation candidates. A slot is filled from the question: a year range, the name of a person, or a course.
+# ---- fixed values
 RELATIONS = (
-    (("designed for",), (), r"designed for ([^.]+)", None, 4.8),
-    ((), ("where ",), r"located (?:in|at)\s+([^.]+)", None, 4.8),
-    (("located",), (), r"located (?:in|at)\s+([^.]+)", None, 4.8),
-    ((), ("where ",), r"(?:in|at)\s+(\d{3,4}\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)", None, 4.6),
-    (("located",), (), r"(?:in|at)\s+(\d{3,4}\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)", None, 4.6),
-    ((), ("where ",), r"intersection of ([^.]+)", None, 4.8),
-    (("located",), (), r"intersection of ([^.]+)", None, 4.8),
-    (("deadline",), (), r"deadline (?:is|for .* is)\s+([^.]+)", None, 4.8),
-    (("application period",), (), r"application period is ([^.]+)", None, 5.2),
-    ((), ("what building",), r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\s+Hall)", None, 4.6),
-    (("what office",), (), r"([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){0,3}\s+Office)", None, 4.6),
-    (("load",), (), r"load of ([^.]+)", None, 4.8),
-    (("units",), (), r"load of ([^.]+)", None, 4.8),
-    (("load",), (), r"apply with ([^.]+?semester units)", None, 5.2),
-    (("units",), (), r"apply with ([^.]+?semester units)", None, 5.2),
-    (("gpa",), (), r"gpa of ([^.]+)", None, 4.8),
-    (("token",), (), r"ask for a [\"“]?([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*\s+Token)[\"”]?", None, 5.2),
-    (("team",), (), r"to (Team\s+\d+\s*[-–]\s*[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*)", None, 5.2),
-    (("available only to which undergraduates",), (), r"available only to ([^.]+)", None, 5.0),
-    (("additional year",), (), r"requiring only ([^.]+?) beyond", None, 5.2),
-    (("listed first",), (), r"Academic Year\s+\d{4}/\d{4}\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)", None, 5.4),
-    (("president in",), (), r"%s\s*[–-]\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)", "years", 5.4),
-    (("who spoke",), (), r"([A-Z][A-Za-z.-]+(?:\s+[A-Z][A-Za-z.-]+){1,3})\s+(?:Associate Professor|Professor|Director)", None, 5.1),
-    (("which university",), (), r"(University of [A-Z][A-Za-z,&.-]+(?:\s+[A-Z][A-Za-z,&.-]+)*)", None, 5.6),
-    (("which university",), (), r"([A-Z][A-Za-z.&-]+(?:\s+[A-Z][A-Za-z.&-]+)* University)", None, 5.4),
-    (("how old",), (), r"age\s+(\d+)", None, 5.4),
-    (("how old",), (), r"He was\s+(\d+)", None, 5.2),
-    (("born", "town"), (), r"born in ([^.]+)", None, 5.3),
-    (("born", "city"), (), r"born in ([^.]+)", None, 5.3),
-    (("three-year program",), (), r"([A-Z0-9][A-Za-z0-9&+.-]+(?:\s+[A-Z0-9][A-Za-z0-9&+.-]+){0,4})\s*:\s*A three-year program", None, 5.4),
-    (("listed under",), (), r"%s\s+((?:5th-Year\s+M\.S\.|Ph\.D\.|M\.Eng\.|M\.S\.|B\.S\.|B\.A\.))", "person", 5.4),
-    (("degree program",), (), r"%s\s+((?:5th-Year\s+M\.S\.|Ph\.D\.|M\.Eng\.|M\.S\.|B\.S\.|B\.A\.))", "person", 5.4),
+    ((("designed for",),), r"designed for ([^.]+)", None, 4.8),
+    ((("^where ", "located"),), r"located (?:in|at)\s+([^.]+)", None, 4.8),
+    ((("^where ", "located"),), r"(?:in|at)\s+(\d{3,4}\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)", None, 4.6),
+    ((("^where ", "located"),), r"intersection of ([^.]+)", None, 4.8),
+    ((("deadline",),), r"deadline (?:is|for .* is)\s+([^.]+)", None, 4.8),
+    ((("application period",),), r"application period is ([^.]+)", None, 5.2),
+    ((("^what building",),), r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\s+Hall)", None, 4.6),
+    ((("what office",),), r"([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){0,3}\s+Office)", None, 4.6),
+    ((("load", "units"),), r"load of ([^.]+)", None, 4.8),
+    ((("load", "units"),), r"apply with ([^.]+?semester units)", None, 5.2),
+    ((("gpa",),), r"gpa of ([^.]+)", None, 4.8),
+    ((("token",),), r"ask for a [\"“]?([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*\s+Token)[\"”]?", None, 5.2),
+    ((("team",),), r"to (Team\s+\d+\s*[-–]\s*[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*)", None, 5.2),
+    ((("available only to which undergraduates",),), r"available only to ([^.]+)", None, 5.0),
+    ((("additional year",),), r"requiring only ([^.]+?) beyond", None, 5.2),
+    ((("listed first",),), r"Academic Year\s+\d{4}/\d{4}\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)", None, 5.4),
+    ((("president in",),), r"%s\s*[–-]\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)", "years", 5.4),
+    ((("who spoke",),), r"([A-Z][A-Za-z.-]+(?:\s+[A-Z][A-Za-z.-]+){1,3})\s+(?:Associate Professor|Professor|Director)", None, 5.1),
+    ((("which university",),), r"(University of [A-Z][A-Za-z,&.-]+(?:\s+[A-Z][A-Za-z,&.-]+)*)", None, 5.6),
+    ((("which university",),), r"([A-Z][A-Za-z.&-]+(?:\s+[A-Z][A-Za-z.&-]+)* University)", None, 5.4),
+    ((("how old",),), r"age\s+(\d+)", None, 5.4),
+    ((("how old",),), r"He was\s+(\d+)", None, 5.2),
+    ((("born",), ("town", "city"),), r"born in ([^.]+)", None, 5.3),
+    ((("three-year program",),), r"([A-Z0-9][A-Za-z0-9&+.-]+(?:\s+[A-Z0-9][A-Za-z0-9&+.-]+){0,4})\s*:\s*A three-year program", None, 5.4),
+    ((("listed under", "degree program"),), r"%s\s+((?:5th-Year\s+M\.S\.|Ph\.D\.|M\.Eng\.|M\.S\.|B\.S\.|B\.A\.))", "person", 5.4),
+    ((("teach", "instructor"), ("spring", "fall", "schedule")), r"%s[^.\n]{0,120}?\b([A-Z][A-Za-z.-]+(?:\s+[A-Z][A-Za-z.-]+){1,3})\b", "course", 5.8),
+    ((("what room", "location"), ("spring", "fall")), r"%s[^.\n]{0,120}?\b([A-Z][a-z]+(?:\s+\d{3}[A-Z]?)?)\b", "course", 5.7),
 )
+#: What a course slot takes from a question: the subject, and the number after any subject.
+COURSE_SUBJECT, COURSE_NUMBER = r"(?i)\b(CS|EE|EECS)\b", r"(?i)\b(?:CS|EE|EECS)\s*-?\s*(\d{2,3}[A-Z]?)\b"
 
 #: Question type: prefixes of which one starts the question, or cues of which one is in it (as substrings).
 TYPE_CUES = (
@@ -133,6 +131,9 @@ class SiteRules:
     inline_noise: tuple[str, ...] = ()
     relations: tuple = field(default=())
     home_title: str = "Home"
+    legacy_host: str = ""
+    people_host: str = ""
+    help_host: str = ""
 
 
 def any_in(text: Column, cues: tuple[str, ...]) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -67,13 +69,14 @@ def typed_candidates(types: Column, span: Column) -> Column:
 def relation_candidates(question: Column, span: Column, relations: tuple = R.RELATIONS) -> Column:
     """First group of the first match of each relation whose cues are in the question; slots are filled from it."""
     low, none, parts = F.lower(question), F.array().cast(CANDIDATE), []
-    slots = {"years": F.nullif(F.regexp_extract(question, r"(\d{4}-\d{2})", 1), F.lit("")), "person": R.person_in_question(question)}
-    for cues, starts, pattern, slot, bonus in relations:
+    part = lambda pattern: F.nullif(F.upper(F.regexp_extract(question, pattern, 1)), F.lit(""))
+    # the marks between a subject and a number may differ
+    course = F.concat(part(R.COURSE_SUBJECT), F.lit(r"\E\s*-?\s*\Q"), part(R.COURSE_NUMBER))
+    slots = {"years": F.nullif(F.regexp_extract(question, r"(\d{4}-\d{2})", 1), F.lit("")), "person": R.person_in_question(question), "course": course}
+    for groups, pattern, slot, bonus in relations:
         test = F.lit(True)
-        for cue in cues:
-            test = test & F.contains(low, F.lit(cue))
-        for start in starts:
-            test = test & low.startswith(start)
+        for cues in groups:
+            test = test & (R.any_in(low, tuple(c for c in cues if c[0] != "^")) | reduce(or_, [low.startswith(c[1:]) for c in cues if c[0] == "^"], F.lit(False)))
         if slot:
             head, tail = pattern.split("%s")
             regex = F.concat(F.lit(head + r"\Q"), slots[slot], F.lit(r"\E" + tail))

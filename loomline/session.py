@@ -8,6 +8,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # plans of reading are long; their text need not be kept
+    "spark.sql.maxPlanStringLength": "100000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

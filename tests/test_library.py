@@ -141,6 +141,38 @@ def test_known_answers(spark):
     assert {r["ord"] for r in knowledge.without_leaks(known, asked).where("leaked").collect()} == {0, 1, 2}
 
 
+def test_stop_words_make_no_questions_similar(spark):
+    known = spark.createDataFrame([(0, "What is the name of the tower in the city?", "Long Tower", "u/")], "ord long, question string, answer string, url string")
+    asked = spark.createDataFrame([(0, "What is the age of the bridge in the valley?")], "q long, text string")
+    assert knowledge.similar_answers(asked, known).count() == 0 and knowledge.hint_urls(asked, known).count() == 0
+
+
+def test_similar_sets_equal_all_overlaps(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = [" ".join(f"t{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randint(3, 14))) for _ in range(150)]
+    texts += [x + " more" for x in texts[:60]]
+    a = spark.createDataFrame(list(enumerate(texts)), "a long, text string")
+    b = a.withColumnRenamed("a", "b")
+    found = sorted(map(tuple, knowledge.similar_sets(a, b).collect()))
+    assert found == sorted(map(tuple, knowledge.token_overlap(a, b).where("shared >= 5 and jaccard >= 0.68").collect())) and len(found) > 150
+
+
+def test_known_answers_take_the_form_of_their_question(spark):
+    known = spark.createDataFrame([(0, "Which course covers the blue whale and other sea animals?", "it is cs-189 of spring")], "ord long, question string, answer string")
+    asked = spark.createDataFrame([(0, "Which course covers the blue whale and other sea animals?"), (1, "And which course covers the blue whale and other sea animals?")], "q long, text string")
+    nothing = spark.createDataFrame([], "q long, rank int, title string, url string, text string")
+    got = {r["q"]: (r["answer"], r["how"]) for r in reader.answers(asked, nothing, known, exact=True).collect()}
+    assert {k: how for k, (_, how) in got.items()} == {0: "known", 1: "similar"} and all(x.upper().replace("-", " ") == "CS 189" for x, _ in got.values())
+
+
+def test_course_relations(spark):
+    rows = spark.createDataFrame([("Who teaches CS 189 in spring?", "In spring EE 120 is by Jo Ray; CS-189 is taught by Ada Byron in the hall"), ("What room is EE 16A in this fall?", "EE16A meets in Wheeler 150 daily"), ("Who teaches it?", "CS 189 by Ada Byron")], "q string, span string")
+    got = [[(c["hit"], c["bonus"]) for c in r["c"]] for r in rows.select(reader.relation_candidates(F.col("q"), F.col("span")).alias("c")).collect()]
+    assert got == [[("Ada Byron", 5.8)], [("Wheeler 150", 5.7)], []]
+
+
 def test_reader_falls_back(spark):
     asked = spark.createDataFrame([(1, "What year was it built?"), (2, "Who leads Foo Hall?"), (3, " ")], "q long, text string")
     found = spark.createDataFrame([(1, 1, "t", "u", "The hall was built in 1931. It stands."), (2, 1, "t", "u", "Ada Byron leads Foo Hall.")], "q long, rank int, title string, url string, text string")
@@ -263,6 +295,19 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "c.jsonl").write_text(f'{{"url": "u", "text": "{body}"}}\n{{"url": "v", "text": "{body}"}}\n{{"url": "w"}}\n')
     cli.main(["filter", at("c.jsonl"), at("kept")])
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"kept": 1, "removed": 2}
+    cli.main(["evaluate", at("r.jsonl"), at("p.txt"), "--first", "1"])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["exact_match_percent"] == 100.0
+    (tmp_path / "site.json").write_text('{"inline_noise": ["Skip this"], "relations": [[[["hall"]], "named ([A-Z][a-z]+)", null, 9.0]]}')
+    lines = " ".join(f"Sentence number {k} of the long page is here." for k in range(10))
+    (tmp_path / "raw.jsonl").write_text(json.dumps({"url": "https://x.org/a", "text": f"Skip this The hall was named Turing. {lines}"}) + "\n")
+    cli.main(["clean", at("raw.jsonl"), at("docs"), at("chunks"), "--site", at("site.json")])
+    assert "Skip" not in spark.read.json(at("docs")).first()["text"]
+    (tmp_path / "asked.txt").write_text("How was the hall named?\n")
+    (tmp_path / "known.jsonl").write_text('{"question": "hall named once", "answer": "", "url": "https://x.org/a"}\n')
+    cli.main(["answer", at("docs"), at("asked.txt"), at("told"), "--known", at("known.jsonl"), "--site", at("site.json")])
+    assert [r["value"] for r in spark.read.text(at("told")).collect()] == ["Turing"]
+    cli.main(["answer", at("docs"), at("asked.txt"), at("told2"), "--reader", "tests.readers:shout"])
+    assert [r["value"] for r in spark.read.text(at("told2")).collect()] == ["LOUD"]
     cli.main(["worklist", at("c.jsonl"), at("list"), "--limit", "2"])
     assert spark.read.option("header", True).csv(at("list")).count() == 2
     cli.main(["export", at("r.jsonl"), at("questions")])
