@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.llm.components import connected_components
-from loomline.llm.shared import kept, mix, n_groups, passes, release, slices, text_buffer, texts_in_batches, window_hashes, word_hashes
+from loomline.llm.shared import kept, let_go, mix, n_groups, passes, release, slices, text_buffer, text_slices, texts_in_batches, window_hashes, word_hashes
 
 BAND_GROWTH = 1.5
 #: So many different sets with one signature in one pass leave it as rows of their own instead of meeting in a bucket.
 HEAVY = 64
 #: Sets of a run that meet at once, and rows of runs in one group.
 BLOCK_SETS, GROUP_ROWS = 512, 30_000
+#: Text that is read at once; batches hold no more, but for one longer text.
+MESSAGE_BYTES = 4 << 20
 #: Row keys broadcast at most; beyond that they are joined.
 BROADCAST_KEYS = 1_000_000
 
@@ -341,8 +343,11 @@ def _links(members: DataFrame, classes: DataFrame, percent: int, verified: Calla
     star = members.join(pivots, "run").where("set <> pivot").select(F.least("set", "pivot").alias("a"), F.greatest("set", "pivot").alias("b")).distinct()
     links = kept(verified(kept(star)))
     labels = None if links.isEmpty() else kept(connected_components(links))
+    del degree, ranked, pivots, star
+    let_go(members)
     runs = kept(_labelled(members, labels))
     more = kept(verified(kept(_pairs_between(runs, classes, percent))))
+    let_go(members)
     if more.isEmpty():
         return labels
     return kept(connected_components(links.unionByName(more)))
@@ -361,11 +366,12 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     rows = texts_in_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("row"))
 
     def message(batches):
-        for batch in slices(batches):
+        # whole batches, as equal sets of one pass send their signatures once
+        for batch in text_slices(batches, "text", MESSAGE_BYTES):
             yield from _messages(batch.column(0), width, percent, buckets)
 
     def key(batches):
-        for batch in slices(batches):
+        for batch in text_slices(batches, "text", MESSAGE_BYTES):
             for start, stop, shingles, at in shingle_sets(batch.column("text"), width):
                 keys, sizes = set_keys(shingles, at), np.diff(at)
                 names = [k.tobytes() if n else None for k, n in zip(keys, sizes.tolist(), strict=True)]
@@ -376,6 +382,7 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     keyed = kept(rows.mapInArrow(key, T.StructType([T.StructField("doc_id", id_type), T.StructField("row", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField("sketch", T.BinaryType())])))
     members = kept(rows.select("text").mapInArrow(message, MESSAGE_DDL).groupBy("bucket").applyInArrow(_runs, MEMBER_DDL).distinct())
     classes = kept(keyed.where("set is not null").groupBy("set").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id"), F.min("sketch").alias("sketch")))
+    let_go(members)
     found = _links(members, classes, percent, lambda pairs: _verified(pairs, classes, rows, width, percent))
     classes = classes.select("set", "first_id")
     if found is not None:

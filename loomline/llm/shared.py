@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -39,6 +40,16 @@ def kept(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def let_go(frame: DataFrame) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more.
+
+    Spark does so when the driver collects its garbage, which a driver of little work puts off until it has filled its
+    memory; by then the shuffles of all steps before lie on the disks of the executors.
+    """
+    gc.collect()
+    frame.sparkSession.sparkContext._jvm.System.gc()
+
+
 #: Bytes of one Arrow batch; the JVM and a Python worker each hold a few of them at once.
 BATCH_BYTES = 4 << 20
 

@@ -37,9 +37,9 @@ BLOCK_IDS = 1 << 14
 #: Ids in a segment, at least one document; bounds the memory of writers and readers, save for one longer document.
 SEGMENT_IDS = 1 << 20
 #: Units of text whose ids a worker keeps, of some 32 bytes each, before it starts anew.
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 1_000_000
 #: Bytes of text and words that are encoded together.
-SLICE_BYTES, WORDS_AT_ONCE = 4 << 20, 1 << 20
+SLICE_BYTES, WORDS_AT_ONCE = 2 << 20, 1 << 19
 
 
 def bits_for(vocabulary: int) -> int:
