@@ -543,3 +543,54 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     frame = spark.createDataFrame([(k, x, "en", None, 1) for k, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_similar(spark, frame, "").collect())
     assert got == Counter([(1, text[0]), (2, text[1]), (-4, text[2]), (None, text[3]), (7, text[4]), (8, ""), (8, ""), (None, None)])
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    """Every stage on rows with nulls, repeats and copies, against plain Python; then on an empty table."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    item = " ".join(rng.choice(WORDS) for _ in range(20))
+    plain = [" ".join(rng.choice(WORDS) for _ in range(rng.choice([4, 30, 90]))) for _ in range(40)]
+    texts = plain + plain[:5] + [x + " end" for x in plain[5:8]] + [f"{plain[9]} {item}", None, "", " \n"]
+    rows = [(k, x, "en", [None, "a", "b"][k % 3], None if x is None else len(x)) for k, x in enumerate(texts)]
+    rows += [rows[0], rows[0], (None, plain[11], None, None, 1), (None, None, None, None, None)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(30)] + [(None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (2, None), (None, plain[0])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, folder, stages = spark.createDataFrame(rows, kinds), str(tmp_path), dict(corpus_pipeline.STAGES)
+    key = lambda r: tuple(map(str, r))
+    out = lambda name, frame: sorted(map(key, stages[name](spark, frame, folder).collect()))
+
+    scores = score_toxicity(docs, spark.read.parquet(f"{folder}/labels.parquet"), keep=corpus_pipeline.COLUMNS).collect()
+    assert out("toxicity", docs) == sorted(key([r[c] for c in corpus_pipeline.COLUMNS]) for r in scores if r["score"] < 0.7)
+
+    sets = {k: shingles(r[1]) for k, r in enumerate(rows)}
+    whose = components(sets, lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b))
+    first = {}
+    for k, r in enumerate(rows):
+        if sets[k]:
+            first.setdefault(whose[k], []).append((r[0] is None, r[0] or 0, k))
+    kept = [rows[min(group)[2]] for group in first.values()] + [r for k, r in enumerate(rows) if not sets[k]]
+    assert out("near_duplicates", docs) == sorted(map(key, kept))
+
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if w]
+    windows = {tuple(split(item)[i : i + 8]) for i in range(13)}
+    leaks = lambda t: any(tuple(split(t)[i : i + 8]) in windows for i in range(len(split(t))))
+    assert out("decontamination", docs) == sorted(key(r) for r in rows if not leaks(r[1])) and sum(leaks(r[1]) for r in rows) == 1
+
+    mixed = Counter(key(r) for r in stages["mixing"](spark, docs, folder).collect())
+    taken = Counter()
+    for r in mixing.mix_sources(docs, keep=corpus_pipeline.COLUMNS).collect():
+        taken[key([r[f"keep_{c}"] for c in corpus_pipeline.COLUMNS])] += r["copies"]
+    assert mixed == +taken and set(mixed) <= set(map(key, rows))
+
+    before, coder = 0, Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = sorted(stages["token_output"](spark, docs, folder).collect(), key=lambda r: r["start"])
+    for r, row in zip(got, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), strict=True):
+        ids = [*coder.encode(row[1] or "", add_special_tokens=False).ids, 2]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (row[0], before, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        before += len(ids)
+    empty = spark.createDataFrame([], kinds)
+    assert all(stage(spark, empty, folder).count() == 0 for stage in stages.values())
