@@ -156,6 +156,10 @@ sents AS (SELECT ord, i, s FROM (SELECT ord, unnest(ss) AS s, unnest(range(len(s
 once AS (SELECT ord, min(i) AS i, arg_min(s, i) AS s FROM sents GROUP BY ord, lower(s)),
 clean AS (SELECT ord, string_agg(s, ' ' ORDER BY i) AS text FROM once GROUP BY ord HAVING length(string_agg(s, ' ' ORDER BY i)) >= 80)"""
 
+BEST = f"f AS (SELECT ord, url, text, {SQL_COUNTS} FROM docs), s AS (SELECT ord, url, text, {PAGE_TYPE} AS page_type, {SQL_SCORE} AS score FROM f), n AS (SELECT *, row_number() OVER (PARTITION BY page_type ORDER BY score DESC, ord) AS n FROM s), best AS (SELECT *, (row_number() OVER (ORDER BY score DESC, ord))::INT AS rank FROM n WHERE n <= 8 ORDER BY rank LIMIT 45)"
+IDEA = f"i AS (SELECT ord, {IDEAS} AS x FROM (SELECT *, {PAGE_TYPE} AS k FROM docs)), j AS (SELECT ord, list_filter(x, lambda v, n: list_position(x, v) = n) AS y FROM i), idea AS (SELECT ord, CASE WHEN len(y) = 0 THEN '{annotate.GENERAL}' ELSE array_to_string(y[1:3], '; ') END AS ideas FROM j)"
+PREVIEW = f"CASE WHEN length({sql_collapse('text')}) <= 260 THEN {sql_collapse('text')} ELSE rtrim(substr({sql_collapse('text')}, 1, 257)) || '...' END"
+
 QUERIES = {
     "crawl_filter": (crawl_filter, f"WITH {DOCS} SELECT ord, url FROM docs WHERE length(text) >= 75 AND NOT contains(url, '{DENY[0]}') AND NOT contains(url, '{DENY[1]}')"),
     "crawl_dedup": (crawl_dedup, f"WITH {DOCS} SELECT ord, url FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY ord) AS n FROM docs WHERE length(text) >= 75 AND NOT contains(url, '{DENY[0]}') AND NOT contains(url, '{DENY[1]}')) WHERE n = 1"),
@@ -174,9 +178,9 @@ QUERIES = {
     "html_to_text": (html_to_text, None),
     "entity_counts": (entity_counts, f"WITH {DOCS} SELECT ord, {SQL_COUNTS} FROM docs"),
     "worklist_score": (worklist_score, f"WITH {DOCS}, f AS (SELECT ord, text, {SQL_COUNTS} FROM docs) SELECT ord, {SQL_SCORE} AS score FROM f"),
-    "worklist_select": (worklist_select, f"WITH {DOCS}, f AS (SELECT ord, url, text, {SQL_COUNTS} FROM docs), s AS (SELECT ord, {PAGE_TYPE} AS page_type, {SQL_SCORE} AS score FROM f), n AS (SELECT *, row_number() OVER (PARTITION BY page_type ORDER BY score DESC, ord) AS n FROM s) SELECT ord, page_type, score, (row_number() OVER (ORDER BY score DESC, ord))::INT AS rank FROM n WHERE n <= 8 ORDER BY rank LIMIT 45"),
-    "worklist": (worklist, None),
-    "question_ideas": (question_ideas, f"WITH {DOCS}, i AS (SELECT ord, {IDEAS} AS x FROM (SELECT *, {PAGE_TYPE} AS k FROM docs)), j AS (SELECT ord, list_filter(x, lambda v, n: list_position(x, v) = n) AS y FROM i) SELECT ord, CASE WHEN len(y) = 0 THEN '{annotate.GENERAL}' ELSE array_to_string(y[1:3], '; ') END AS ideas FROM j"),
+    "worklist_select": (worklist_select, f"WITH {DOCS}, {BEST} SELECT ord, page_type, score, rank FROM best"),
+    "worklist": (worklist, f"WITH {DOCS}, {BEST}, {IDEA} SELECT printf('page_%03d', rank) AS item_id, url, page_type, round(score, 1) AS score, ideas AS suggested_question_types, {PREVIEW} AS text_preview, 'todo' AS status, '' AS question, '' AS answer, '' AS evidence_text, '' AS needs_second_annotation FROM best JOIN idea USING (ord)"),
+    "question_ideas": (question_ideas, f"WITH {DOCS}, {IDEA} SELECT ord, ideas FROM idea"),
     "exclude_urls_anti": (exclude_urls_anti, f"WITH {DOCS} SELECT ord, url FROM docs WHERE ord NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)"),
     "iaa_subset": (iaa_subset, f"WITH {DOCS} " + IAA.format(", reverse(d.text) AS answer")),
     "iaa_blind": (iaa_blind, f"WITH {DOCS} " + IAA.format(", '' AS second_annotator_answer, '' AS second_annotator_evidence, '' AS notes")),

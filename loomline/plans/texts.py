@@ -71,6 +71,10 @@ PAGE_TYPE = "CASE " + " ".join("WHEN " + " OR ".join([f"contains(url, '{c}')" fo
 KINDS = ("/contact", "/academics/", "/people/", "/news/", "/2031/", "/about/", "/connect/", "/research/", "/pubs/techrpts/x.pdf", "/faculty/homepages/", "/book/", "/a_b-c.d//")
 
 
+#: Each run of letters with a capital first, the rest small.
+TITLE = "array_to_string(list_transform(regexp_extract_all(trim(regexp_replace(p, '[-_]+', ' ', 'g')), '[A-Za-z]+|[^A-Za-z]+'), lambda w: upper(w[1]) || lower(w[2:])), '')"
+
+
 def _varied() -> list:
     kind = F.get(F.array(*[F.lit(k) for k in KINDS]), F.pmod(F.col("page_id"), F.lit(len(KINDS))).cast("int"))
     return [F.col("page_id"), F.concat(F.regexp_replace(F.col("url"), r"^(https?://)", "$1www2."), kind).alias("url")]
@@ -110,6 +114,6 @@ QUERIES = {
     "url_features": (varied(lambda: [C("page_id"), U.features(C("url")).alias("features"), U.key(C("url")).alias("key")]), f"SELECT page_id, {FEATURES} AS features, regexp_replace(url, '/+$', '') AS key FROM {VARIED}"),
     "url_families": (varied(lambda: [C("page_id"), *[U.family(C("url"), n).alias(n) for n in U.FAMILIES]]), "SELECT page_id, " + ", ".join("(" + " OR ".join(f"contains(lower(url), '{c}')" for c in cues) + f") AS {n}" for n, cues in U.FAMILIES.items()) + f" FROM {VARIED}"),
     "page_type": (varied(lambda: [C("page_id"), U.page_type(C("url")).alias("page_type")]), f"SELECT page_id, {PAGE_TYPE} AS page_type FROM {VARIED}"),
-    "slug_title": (varied(lambda: [C("page_id"), U.slug_title(C("url")).alias("title")]), None),
+    "slug_title": (varied(lambda: [C("page_id"), U.slug_title(C("url")).alias("title")]), f"SELECT page_id, CASE WHEN p = '' OR p = h THEN 'Home' ELSE {TITLE} END AS title FROM (SELECT page_id, {HOST} AS h, string_split(regexp_replace(url, '/+$', ''), '/')[-1] AS p FROM {VARIED})"),
     "retrieval_text": (_retrieval_text, f"SELECT page_id, {sql_collapse(f'concat_ws({chr(39)} {chr(39)}, t, t, {HOST_TERMS}, {PATH_TERMS}, {FEATURES}, html)')} AS t FROM (SELECT page_id, url, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM {VARIED})"),
 }
