@@ -96,11 +96,11 @@ def em_f1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def squad_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as nested gold; every third answer is missing."""
+    """Conversations as nested gold; the first sentence in small letters is the prediction, and every third is missing."""
     rows = pairs(spark, sf_dir)
     qas = rows.groupBy((C("ord") / 1000).cast("long").alias("conv")).agg(F.collect_list(F.struct(C("ord").cast("string").alias("id"), F.array(F.struct(C("answer").alias("text"))).alias("answers"))).alias("qas"))
     data = qas.select(F.array(F.struct(F.array(F.struct("qas")).alias("paragraphs"))).alias("data"))
-    told = rows.where("ord % 3 <> 0").select(C("ord").cast("string").alias("id"), F.lower("answer").alias("prediction"))
+    told = rows.where("ord % 3 <> 0").select(C("ord").cast("string").alias("id"), F.lower(F.split("answer", r"\|")[0]).alias("prediction"))
     return evaluate.squad(data, told).select("id", "exact_match", "f1", "missing")
 
 
@@ -233,7 +233,7 @@ QUERIES = {
     "question_index": (question_index, "SELECT role, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS key, max(conv_id * 1000 + turn) AS ord, length(arg_max(text, conv_id * 1000 + turn)) AS n FROM conversations GROUP BY ALL"),
     "em_f1_detail": (em_f1_detail, f"WITH {PAIRS}, {DETAILS} SELECT * FROM det"),
     "em_f1_summary": (em_f1_summary, f"WITH {PAIRS}, {DETAILS} SELECT count(*) AS count, round(avg(exact_match), 6) AS exact_match, round(avg(f1), 6) AS f1, round(round(avg(exact_match), 6) * 100, 2) AS exact_match_percent FROM det"),
-    "squad_eval": (squad_eval, f"WITH {PAIRS} SELECT ord::VARCHAR AS id, CASE WHEN ord % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS exact_match, CASE WHEN ord % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS f1, ord % 3 = 0 AS missing FROM pairs"),
+    "squad_eval": (squad_eval, f"WITH {PAIRS}, told AS (SELECT ord, answer, lower(string_split(answer, '|')[1]) AS p FROM pairs) SELECT ord::VARCHAR AS id, CASE WHEN ord % 3 <> 0 AND {sql_norm('p')} = {sql_norm('answer')} THEN 1.0 ELSE 0.0 END::DOUBLE AS exact_match, CASE WHEN ord % 3 = 0 THEN 0.0 ELSE round({sql_f1('p', 'answer')}, 6) END::DOUBLE AS f1, ord % 3 = 0 AS missing FROM told"),
     "rrf_fusion": (rrf_fusion, f"{WITH}, {FUSION} SELECT q, ord, fusion FROM fus"),
     "feature_boost": (feature_boost, None),
     "page_injection": (page_injection, f"{WITH}, {SQL_PAGES}, b AS (SELECT * FROM base WHERE rank <= 96), m AS (SELECT p.q, p.source, p.score AS ps, p.rank, c.ord, coalesce(b.score, 0) AS v, b.ord IS NOT NULL AS there FROM pages_top p JOIN chunks c USING (source) LEFT JOIN b ON b.q = p.q AND b.ord = c.ord), r AS (SELECT *, row_number() OVER (PARTITION BY q, source ORDER BY v DESC, ord) AS n FROM m) SELECT q, ord, round(greatest(0.001::DOUBLE, ps / (1.2::DOUBLE + 0.03::DOUBLE * rank)), 6) AS score FROM r WHERE n = 1 AND NOT there"),
