@@ -1,39 +1,42 @@
 """Near-duplicate lines by MinHash, with DataFrame functions only.
 
 The signature of a line comes from all its character shingles, and minima of equal lines are combined before they are
-shuffled; ROWS minima make a band key, and lines that share any of BANDS keys meet the smallest of them, so a key with
-very many lines needs no group. Candidates are verified by the exact Jaccard similarity of all their character
-shingles, and links become components by distributed union-find.
-
-A band that then still holds several components (a template that many lines share, say) is split by its lines' other
-bands, taken one and two at a time, and the lines of each part meet the smallest of that part. So a pair is compared
-unless in all the parts it shares a third line is smaller and similar to neither; the number of candidates stays in
-proportion to the lines, whatever the size of a band.
-
-With a similarity s of all shingles, the one that defines a link, a pair shares a band with probability
-1 - (1 - s ** ROWS) ** BANDS if minima are independent: 0.972 at 0.8, 0.991 at 0.85, 0.999 at 0.9; and two bands, which
-splitting needs, with 0.83 at 0.8, 0.92 at 0.85, 0.98 at 0.9. The orders are XORs of one hash, so lines of few
-shingles fall short of that.
+shuffled; ROWS minima make a band key, each minimum in two bands of BANDS, and lines that share any key meet the
+smallest of them, so a key with very many lines needs no group. Candidates are verified by the exact Jaccard similarity
+of all their character shingles, and links become components by distributed union-find.
+
+In bands that then still hold several components (a template that many lines share, say) each two lines of different
+components meet, first some and then all, and are verified unless bit maps of their shingles rule them out. So every
+pair that shares a band is compared or linked already: exact, and quadratic in the lines of such a band.
+
+With a similarity s of all shingles, the one that defines a link, a pair shares a band with a probability of 0.993 at
+0.8, 0.998 at 0.85, 0.9998 at 0.9 if minima are independent; a pair that shares none is not seen. The orders are XORs of
+one hash, so lines of few shingles fall short of that.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.text import let
 from loomline.llm.components import connected_components
 from loomline.llm.shared import kept
 
-WIDTH, ROWS, BANDS = 9, 3, 5
+WIDTH, ROWS, BANDS = 9, 3, 10
 #: Shingles whose hashes make one row.
 AT_ONCE = 8
 #: White space but line feeds.
 BLANK = " \t\x0b\f\r"
 #: Narrow rows that are sent to every task at most; beyond that they are joined.
 BROADCAST_IDS = 1_000_000
+#: Numbers of 64 bits that the shingles of a line are drawn in, and lines of a band that meet at once.
+DRAWN, BLOCK_LINES = 32, 2000
+#: How far after a line in a band the lines are that it meets before all do.
+NEXT = (1, 2, 4)
 
 
 def _masks(n: int) -> list[int]:
@@ -45,6 +48,12 @@ def _masks(n: int) -> list[int]:
     return out
 
 
+def _bands() -> list[list[int]]:
+    """The numbers of the minima of each band: ROWS in turn, then one of each of ROWS such bands."""
+    half = BANDS // 2
+    return [[b * ROWS + k for k in range(ROWS)] for b in range(half)] + [[(b + k) % half * ROWS + k for k in range(ROWS)] for b in range(half)]
+
+
 def _points(line: Column) -> Column:
     """The characters in four bytes each, so that a shingle is found without counting from the start."""
     return F.encode(line, "UTF-32")
@@ -92,8 +101,8 @@ def _signed(lines: DataFrame, key: tuple[str, ...]) -> DataFrame:
     # a row for some shingles, the last of a line repeated, so that fewer rows reach the aggregate
     hashes = [_shingle(F.col("points"), F.least(F.col("place") + 4 * j, F.col("last"))).alias(f"h{j}") for j in range(AT_ONCE)]
     least = lambda m: F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(AT_ONCE)]))
-    signed = spread.select("k1", "k2", *hashes).groupBy(*key).agg(F.min("k2").alias("x"), F.max("k2").alias("y"), *[least(m).alias(f"m{k}") for k, m in enumerate(_masks(ROWS * BANDS))])
-    keys = [F.xxhash64(F.lit(b), *[f"m{k}" for k in range(b * ROWS, (b + 1) * ROWS)]) for b in range(BANDS)]
+    signed = spread.select("k1", "k2", *hashes).groupBy(*key).agg(F.min("k2").alias("x"), F.max("k2").alias("y"), *[least(m).alias(f"m{k}") for k, m in enumerate(_masks(ROWS * BANDS // 2))])
+    keys = [F.xxhash64(F.lit(b), *[f"m{k}" for k in own]) for b, own in enumerate(_bands())]
     return signed.select(*key, "x", "y", F.array(*keys).alias("bands"))
 
 
@@ -136,29 +145,58 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return kept(both.where(_similar(F.col("x"), F.col("y"), percent)).select("a", "b"))
 
 
-def _with_another(rows: DataFrame, own: DataFrame, held: list[str]) -> DataFrame:
-    """(line_id, key, one column for each band in it) for the bands of a row's columns and each other band of its line."""
-    rows = rows.select("line_id", *held).join(own, "line_id").select("line_id", *held, F.explode("bands").alias("other"))
-    rows = rows.where(~F.col("other").isin(*[F.col(x) for x in held])).select("line_id", F.array_sort(F.array(*held, "other")).alias("some")).distinct()
-    return kept(rows.select("line_id", F.xxhash64("some").alias("key"), *[F.col("some")[k].alias(f"b{k}") for k in range(len(held) + 1)]))
+def _drawn(texts: DataFrame) -> DataFrame:
+    """line_id, the number n of distinct shingles and DRAWN numbers whose bits are the shingles' hashes.
+
+    Where a bit differs, at least one shingle does; so the number of such bits is at most that of differing shingles.
+    """
+    each = texts.select("line_id", F.explode(_shingles(F.col("line"))).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    part = F.pmod(F.shiftright("h", 6), F.lit(DRAWN))
+    return each.groupBy("line_id").agg(F.count("*").alias("n"), *[F.coalesce(F.bit_or(F.when(part == k, bit)), F.lit(0).cast("long")).alias(f"d{k}") for k in range(DRAWN)])
+
+
+def _mixed(held: DataFrame, found: DataFrame) -> DataFrame:
+    """line_id, key and component c in the bands that hold several components, the largest of these and the number of lines."""
+    held = held.join(found, "line_id", "left").withColumn("c", F.coalesce("component_id", "line_id")).select("line_id", "key", "c")
+    sizes = held.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key")
+    mixed = sizes.agg(F.max(F.struct("n", "c")).alias("largest"), F.sum("n").alias("lines"), F.count("*").alias("several")).where("several > 1")
+    return kept(held.join(_sent(mixed.select("key", F.col("largest.c").alias("most"), "lines")), "key"))
+
+
+def _near(percent: int) -> Column:
+    """Whether bit maps and sizes of the lines x and y leave it open that they are similar."""
+    apart = reduce(add, [F.bit_count(F.col(f"x.d{k}").bitwiseXOR(F.col(f"y.d{k}"))) for k in range(DRAWN)])
+    # common / (all - common) is at least percent / 100 only if no more shingles than that differ
+    return F.greatest(apart, F.abs(F.col("x.n") - F.col("y.n"))) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("x.line_id", "y.line_id").alias("a"), F.greatest("x.line_id", "y.line_id").alias("b")).distinct()
+
+
+def _met_next(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs of lines and those that come soon after them in a band, which join most of a large group at little cost."""
+    line = F.struct("line_id", "c", "n", *[f"d{k}" for k in range(DRAWN)])
+    window = Window.partitionBy("key").orderBy("line_id")
+    ahead = [F.lead(line, k).over(window).alias(f"y{k}") for k in NEXT]
+    met = rows.select(line.alias("x"), *ahead).select("x", F.explode(F.array(*[f"y{k}" for k in NEXT])).alias("y"))
+    return _pairs(met.where("y is not null and x.c <> y.c").where(_near(percent)))
 
 
-def _met_in_parts(banded: DataFrame, pivots: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs of each line and the smallest of the same part, for the parts of bands that hold several components.
+def _met_across(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs of lines that share a band and no component, but for those whose drawn shingles differ too much.
 
-    A part is a band with each other one, and if more than two lines have that, with each third one. A key of two lines
-    is settled by its one pair.
+    In each band the lines outside its largest component meet all others, these in blocks of about BLOCK_LINES; a pair
+    meets in the first band that it shares.
     """
-    crowded = _sent(pivots.where("n > 2").select("key"))
-    held = banded.select("line_id", F.explode("bands").alias("key")).join(crowded, "key").join(found, "line_id", "left")
-    held = kept(held.withColumn("c", F.coalesce("component_id", "line_id")).select("line_id", "key", "c"))
-    mixed = _sent(held.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key"))
-    one = held.join(mixed, "key", "left_semi").select("line_id", F.col("key").alias("b0"))
-    own = kept(banded.join(_sent(one.select("line_id").distinct()), "line_id", "left_semi"))
-    two = _with_another(one, own, ["b0"])
-    pivots, pairs = _met(two.select("line_id", "key"))
-    three = _with_another(two.join(pivots.where("n > 2").select("key"), "key", "left_semi"), own, ["b0", "b1"])
-    return pairs.unionByName(_met(three.select("line_id", "key"))[1]).distinct()
+    own = rows.groupBy("line_id").agg(F.collect_set("key").alias("keys"))
+    rows = rows.join(own, "line_id").withColumn("blocks", F.floor((F.col("lines") - 1) / BLOCK_LINES).cast("int") + 1)
+    x = rows.where("c <> most").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+    y = rows.withColumn("block", F.pmod(F.xxhash64("line_id"), F.col("blocks")).cast("int")).alias("y")
+    once = F.expr("x.c <> y.c and (y.c = y.most or x.line_id < y.line_id)")
+    first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    return _pairs(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & once & _near(percent) & first))
 
 
 def near_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 80) -> DataFrame:
@@ -179,12 +217,16 @@ def near_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", perc
     links = _verified(pairs, texts, percent)
     label = lambda x: _sent(x.withColumnRenamed("node", "line_id").withColumnRenamed("component", "component_id"))
     found = label(connected_components(links))
-    more = _met_in_parts(banded, pivots, found).join(pairs, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        more = more.join(found.select(F.col("line_id").alias(side), F.col("component_id").alias(f"c{side}")), side, "left")
-    more = kept(more.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    if not more.isEmpty():
-        found = label(connected_components(links.unionByName(_verified(more, texts, percent))))
+    held = kept(banded.select("line_id", F.explode("bands").alias("key")).join(_sent(pivots.where("n > 2").select("key")), "key"))
+    mixed, done = _mixed(held, found), pairs
+    drawn = kept(_drawn(texts.join(_sent(mixed.select("line_id").distinct()), "line_id", "left_semi")))
+    for meet in (_met_next, _met_across):
+        more = kept(meet(mixed.join(drawn, "line_id"), percent).join(done, ["a", "b"], "left_anti"))
+        done = done.unionByName(more)
+        if not more.isEmpty():
+            links = links.unionByName(_verified(more, texts, percent))
+            found = label(connected_components(links))
+            mixed = _mixed(held, found)
     places = kept(lines.drop("line").join(found, "line_id", "left").withColumn("component_id", F.coalesce("component_id", "line_id")))
     place = F.struct("doc_id", "line_no", "k1", "k2")
     chosen = places.groupBy("component_id").agg(F.min(place).alias("chosen"))

@@ -470,6 +470,22 @@ def test_similar_lines_of_a_band_need_no_pivot(spark):
     assert all(own[k] == own[k + 1] for k in range(0, 300, 2)) and len(set(own.values())) == 150
 
 
+def test_every_pair_of_a_band_is_compared(spark):
+    """Lines that share most of their bands and differ too much, so that a smaller one is in every part of a pair's bands."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    fixed = " ".join(word() for _ in range(12))
+    lines = []
+    for _ in range(150):
+        own = f"{word()} {word()}"
+        lines += [f"{fixed} {own}", f"{fixed} {own[:-1]}#"]
+    grams = [{x[i : i + 9] for i in range(len(x) - 8)} for x in lines]
+    expected = components(dict(enumerate(grams)), lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    assert len(set(expected.values())) == 150
+    own = {r["doc_id"]: r["component_id"] for r in near_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert all(own[k] == own[k + 1] for k in range(0, 300, 2)) and len(set(own.values())) == 150
+
+
 def test_chat(spark):
     calls = [("c", "a", "sum", '{"y": 2, "x": 1}', None), ("c", "b", "sum", '{"x": "no", "z": {"q": 1, "p": null}}', ["a"]), ("c", "d", "none", "{}", ["b", "missing"]), ("c", "e", "sum", "nonsense", ["f"]), ("c", "f", "sum", None, ["e"]), ("c", "g", "sum", '{"x": 1.5}', ["f"]), ("c", "a", "sum", '{"y": 2, "x": 1}', ["a0"]), (None, "a", "sum", "{}", None)]
     results = [("c", "a", "3", 1), ("c", "a", "4", 1), ("c", "z", "lost", 1), ("c", None, "x", 1)]
