@@ -35,9 +35,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def kept(frame: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder; shuffles made for it are deleted once it is written."""
     checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    name, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", frame.sparkSession.conf
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        # a new query, as the setting counts when a query is made
+        return frame.select("*").checkpoint(eager=True)
+    finally:
+        conf.set(name, before)
 
 
 def let_go(frame: DataFrame) -> None:

@@ -7,6 +7,7 @@ import heapq
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -21,6 +22,7 @@ from loomline.llm.decontaminate import find_leaks
 from loomline.llm.jaccard_join import similar_documents
 from loomline.llm.line_dedup import near_lines
 from loomline.llm.neighbours import nearest
+from loomline.llm.shared import kept
 from loomline.llm.sharding import lpt_counts, shard_documents
 from loomline.llm.substring_dedup import repeated_windows
 from loomline.llm.token_files import Segment, WordEncoder, pack, read_digests, segment_bytes, unpack, write_tokens
@@ -124,6 +126,19 @@ def test_jaccard_join_with_nulls_and_repeats(docs):
     assert by_id[25] == 0 and by_id[None] == 2 and by_id[28] == 3
 
 
+def test_shuffles_of_a_step_are_deleted_with_it(spark):
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffled = lambda: {f.getName() for f in (lambda files: [files.apply(k) for k in range(files.size())])(manager.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = shuffled()
+    held = spark.range(1000).repartition(3, "id").groupBy(F.col("id") % 7).count()
+    out = kept(held)
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and out.count() == 7 and held.count() == 7
+
+
 def test_decontamination(spark, docs, nothing):
     items = [(1, " ".join(WORDS[:12]), "x"), (1, "w1 w2", "x"), (2, "w7", "x"), (3, None, "x"), (4, "...", "x"), (None, "w1", "x"), (5, corpus()[5][1].upper() if corpus()[5][1] else "", "x")]
     frame = spark.createDataFrame(items, "item_id long, text string, doc_id string")
