@@ -330,6 +330,28 @@ def test_toxicity(spark, nothing):
     assert score_toxicity(frame, known.where("false")).where("predicted = 1").count() == 0
 
 
+@pytest.mark.parametrize("at_once", [8 << 20, 40_000])
+def test_toxicity_learns_from_every_labelled_row(spark, at_once):
+    """A word that only the last rows in order of the id's hash have, here and in tasks."""
+    rng, ids = random.Random(6), [r["id"] for r in spark.range(9000).orderBy(F.xxhash64("id")).collect()]
+    kind = {k: 2 if n >= 7200 and n % 2 else 1 if n % 2 else 0 for n, k in enumerate(ids)}
+    rows = [(k, " ".join([rng.choice(WORDS) for _ in range(12)] + [("calm", "vile", "nasty")[x]]), "en") for k, x in kind.items()]
+    frame, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(k, int(x > 0)) for k, x in kind.items()], "doc_id long, toxic int")
+    got = score_toxicity(frame, labels, sample_bytes=at_once).collect()
+    late = [r["predicted"] for r in got if r["held_out"] and kind[r["doc_id"]] == 2]
+    assert len(late) > 200 and np.mean(late) >= 0.95
+    assert np.mean([r["predicted"] for r in got if r["held_out"] and kind[r["doc_id"]] == 0]) <= 0.05
+
+
+def test_best_cuts_of_tasks_are_those_of_the_driver(spark):
+    rng = np.random.default_rng(3)
+    langs, logits = rng.choice(["", "de", "en", "one"], 600), np.round(rng.standard_normal(600) * 3, 2)
+    labels = ((logits + rng.standard_normal(600) > 1) & (langs != "one")).astype(np.int64)
+    got = toxicity.best_cuts(spark.createDataFrame(list(zip(langs.tolist(), labels.tolist(), logits.tolist(), strict=True)), "lang string, label long, logit double"))
+    expected = {x: toxicity.best_cut(logits[own], labels[own]) for x, own in [(None, langs != "?")] + [(x, langs == x) for x in ("", "de", "en", "one")]}
+    assert got == {x: cut for x, cut in expected.items() if cut}
+
+
 def area(scores: np.ndarray, labels: np.ndarray) -> float:
     """Under the curve of true against false positives."""
     high, low = scores[labels == 1], scores[labels == 0]
