@@ -33,6 +33,8 @@ PAD = max(WIDTHS) - 1
 MIN_STEPS, PATIENCE = 200, 3
 #: Times over all texts, or rounds of tasks; texts of a step; tasks that fit side by side at most.
 EPOCHS, BATCH, TASKS = 8, 32, 256
+#: Words that are scored in one go; a longer text goes alone.
+WORDS_AT_ONCE = 2048
 #: Labelled ids that are sent to every task at most; beyond that they are joined.
 BROADCAST_IDS = 1_000_000
 _PARTS = np.array([not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) for c in range(256)])
@@ -92,11 +94,29 @@ class Model:
         return np.concatenate(best, axis=1), vectors, every
 
     def logits(self, rows: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """One text at a time, as products of matrices of other shapes may round otherwise: equal texts score alike."""
+        """By sums and products of single numbers in a fixed order, some texts at a time, so that equal texts score alike.
+
+        Products of matrices round as their library sees fit; these round the same in any company, task and process.
+        """
         out = np.empty(len(first))
-        for i, (a, n) in enumerate(zip(first.tolist(), length.tolist(), strict=True)):
-            best, _, _ = self.answers(rows[a : a + n + PAD], np.zeros(1, np.int64), np.array([n]))
-            out[i] = (np.maximum(best[0], 0).astype(np.float64) * self.out).sum() + self.shift
+        bounds = np.append(first, first[-1] + length[-1] + PAD) if len(first) else np.zeros(1, np.int64)
+        for start, stop in passes(bounds, WORDS_AT_ONCE):
+            own, begin = rows[bounds[start] : bounds[stop]], first[start:stop] - bounds[start]
+            vectors = self.table[own[:, 0]]
+            for k in range(1, own.shape[1]):
+                vectors += self.table[own[:, k]]
+            vectors, n = np.ascontiguousarray(vectors.T), len(own) - PAD
+            # from each text's first word to its last, then to the next text
+            edges = np.stack((begin, begin + length[start:stop]), axis=1).reshape(-1)[:-1]
+            logits, each = np.full(stop - start, self.shift, np.float64), iter(self.out.tolist())
+            for w in WIDTHS:
+                got, term = np.zeros((FILTERS, n), np.float32), np.empty((FILTERS, n), np.float32)
+                for k in range(w):
+                    for s in range(SIZE):
+                        got += np.multiply(self.filters[w][k, s][:, None], vectors[s, k : n + k], out=term)
+                for best, bias in zip(np.maximum.reduceat(got, edges, axis=1)[:, ::2], self.bias[w], strict=True):
+                    logits += np.maximum(best + bias, 0).astype(np.float64) * next(each)
+            out[start:stop] = logits
         return out
 
     def prime(self, counts: np.ndarray, texts: np.ndarray) -> None:
@@ -111,7 +131,12 @@ class Model:
         self.out[0] = 1.5
 
     def each(self, texts: list) -> np.ndarray:
-        return np.array([self.logits(t, np.array([0]), np.array([len(t) - PAD]))[0] for t in texts])
+        out = np.empty(len(texts))
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        for start, stop in passes(bounds, WORDS_AT_ONCE):
+            out[start:stop] = self.logits(np.concatenate(texts[start:stop]), bounds[start:stop] - bounds[start], sizes[start:stop] - PAD)
+        return out
 
     def losses(self, texts: list, labels: np.ndarray) -> np.ndarray:
         logits = self.each(texts)

@@ -343,6 +343,31 @@ def test_toxicity_learns_from_every_labelled_row(spark, at_once):
     assert np.mean([r["predicted"] for r in got if r["held_out"] and kind[r["doc_id"]] == 0]) <= 0.05
 
 
+def test_scores_are_rounded_in_a_fixed_order():
+    """Bit by bit the sums of single products, whatever texts are scored together."""
+    rng, model = random.Random(12), toxicity.Model()
+    texts = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in [1, 2, 3, 10, 10, 40, 3000] * 3] + ["", None]
+    alone = [toxicity._encoded_rows(pa.array([t], pa.string()))[0] for t in texts]
+    expected = []
+    for rows in alone:
+        vectors = model.table[rows[:, 0]] + model.table[rows[:, 1]] + model.table[rows[:, 2]] + model.table[rows[:, 3]]
+        total, n, j = np.float64(model.shift), len(rows) - toxicity.PAD, 0
+        for w in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                got = np.zeros(n, np.float32)
+                for k in range(w):
+                    for s in range(toxicity.SIZE):
+                        got = got + vectors[k : n + k, s] * model.filters[w][k, s, f]
+                total, j = total + np.float64(max(got.max() + model.bias[w][f], np.float32(0))) * np.float64(model.out[j]), j + 1
+        expected.append(float(total))
+    order = rng.sample(range(len(texts)), len(texts))
+    mixed = np.empty(len(texts))
+    for start, stop, rows, first, length in toxicity.encoded(pa.array([texts[k] for k in order], pa.string()), 1 << 12):
+        mixed[order[start:stop]] = model.logits(rows, first, length)
+    assert model.each(alone).tolist() == expected and mixed.tolist() == expected
+    assert model.each([]).tolist() == []
+
+
 def test_best_cuts_of_tasks_are_those_of_the_driver(spark):
     rng = np.random.default_rng(3)
     langs, logits = rng.choice(["", "de", "en", "one"], 600), np.round(rng.standard_normal(600) * 3, 2)
