@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -312,3 +313,28 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.option("header", True).csv(at("list")).count() == 2
     cli.main(["export", at("r.jsonl"), at("questions")])
     assert [r["value"] for r in spark.read.text(at("questions")).collect()] == ["a", "b"]
+
+
+def differences_from_sql(spark, name, **tables):
+    """What a query gives of tables (rows, schema) less what its SQL gives, and the other way round."""
+    import tempfile
+
+    folder, con = tempfile.mkdtemp(prefix="spark-", dir="/tmp"), duckdb.connect()
+    for table, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    frame, told = catalogue.queries()[name](spark, folder), con.execute(catalogue.oracle_sql()[name])
+    names = [d[0] for d in told.description]
+    got, want = [str([plain(r[n]) for n in names]) for r in frame.collect()], [str([plain(v) for v in row]) for row in told.fetchall()]
+    return sorted((Counter(got) - Counter(want)).elements()), sorted((Counter(want) - Counter(got)).elements())
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(*texts, sources=3):
+    return [(i, t, "en", f"src{i % sources}", len(t or "")) for i, t in enumerate(texts)], DOCUMENTS
+
+
+def test_yes_no_starts_as_in_sql(spark):
+    assert differences_from_sql(spark, "question_types", documents=documents("Doó is it", "Doñci, x", "do ó", "Does_ x", "Do2", "Do", "Isé", "Have-x")) == ([], [])
