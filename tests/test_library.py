@@ -342,3 +342,42 @@ def test_yes_no_starts_as_in_sql(spark):
 
 def test_documents_without_a_sentence_have_no_row(spark):
     assert differences_from_sql(spark, "sentence_dedup", documents=documents("", "  \n\u00a0", None, "One. one. Two", ".", "a! A! 1? 1?")) == ([], [])
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_best_of_blocks_equals_the_best_of_all_scores(spark, kind):
+    rng = random.Random(5)
+    word = lambda: f"w{min(rng.randrange(40), rng.randrange(40))}"
+    texts = [" ".join(word() for _ in range(rng.randrange(12))) for _ in range(1300)]
+    texts = texts + texts[:200] + ["É W1-w2", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "ord long, text string").withColumn("ord", F.col("ord").cast(kind)).repartition(3)
+    asked = spark.createDataFrame([(q, " ".join(word() for _ in range(q % 7))) for q in range(600)], "q long, text string")
+    terms = index.query_terms(asked)
+    want = index.top(index.bm25_scores(terms, index.postings(docs), index.statistics(docs)), 5)
+    got = index.bm25_topk(docs, asked, 5)
+    shown = lambda f: sorted((r["q"], r["rank"], r["ord"], round(r["score"], 6)) for r in f.collect())
+    assert shown(got) == shown(want) and got.count() > 2000
+    # neither postings nor pairs of query and document are dealt out: only the best of each task
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_page_injection_meets_no_pair_without_a_value(spark):
+    rng = random.Random(6)
+    page_of = {o: f"p{o % 7}" for o in range(120)}
+    chunks = spark.createDataFrame(list(page_of.items()), "ord long, url string")
+    pages = [(q, f"p{p}", round(rng.random(), 3), r + 1) for q in range(5) for r, p in enumerate(rng.sample(range(7), 4))]
+    base = [(q, o, rng.choice([0.5, 1.0])) for q in range(5) for o in rng.sample(range(120), 12)]
+    bonus = [(q, o, rng.choice([-2.0, -1.0, 0.0, 1.0])) for q in range(5) for o in list(range(30)) + rng.sample(range(30, 120), 10)]
+    present = [(q, o) for q, o, _ in base]
+    value = {(q, o): s for q, o, s in base}
+    for q, o, b in bonus:
+        value[q, o] = value.get((q, o), 0.0) + b
+    want = []
+    for q, url, score, rank in pages:
+        best = max((o for o in page_of if page_of[o] == url), key=lambda o: (value.get((q, o), 0.0), -o))
+        if (q, best) not in present:
+            want.append((q, best, round(max(0.001, score / (1.2 + 0.03 * rank)), 6)))
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    base_, bonus_ = frame(base, "q long, ord long, score double"), frame(bonus, "q long, ord long, bonus double")
+    got = retrieve.page_injection(frame(pages, "q long, url string, score double, rank int"), chunks, base_, bonus_, frame(present, "q long, ord long"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
