@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions import rules as R
 from loomline.functions import text as X
 from loomline.functions import urls as U
+from loomline.operators import overlaps
 
 MIN_SHARED, MIN_JACCARD, MIN_HINT = 5, 0.68, 2.0
 
@@ -47,23 +48,9 @@ def token_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def similar_sets(a: DataFrame, b: DataFrame, least_shared: int = MIN_SHARED, least_jaccard: float = MIN_JACCARD) -> DataFrame:
-    """token_overlap of the pairs with that many shared tokens and that similarity, without meeting all others.
-
-    With tokens in order of how rare they are, two sets of n and more tokens that are so similar share one of the first
-    n - least_jaccard * n + 1 of either, so only those rare tokens are joined; the pairs found are then verified.
-    """
-    sides = [f.select(F.col(n), R.focus_terms(F.col("text")).alias("t")).where(F.size("t") >= least_shared) for f, n in ((a, "a"), (b, "b"))]
-    terms = [f.select(n, F.size("t").alias("size"), F.explode("t").alias("term")) for f, n in zip(sides, "ab", strict=True)]
-    often = terms[0].select("term").unionByName(terms[1].select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    rare = []
-    for f, n in zip(terms, "ab", strict=True):
-        rank = F.row_number().over(Window.partitionBy(n).orderBy("df", "term"))
-        rare.append(f.join(often, "term").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.lit(least_jaccard) * F.col("size") - 1e-9) + 1).select(n, "term"))
-    met = rare[0].join(rare[1], "term").select("a", "b").distinct()
-    both = met.join(sides[0].withColumnRenamed("t", "x"), "a").join(sides[1].withColumnRenamed("t", "y"), "b")
-    both = both.withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long"))
-    both = both.withColumn("jaccard", F.col("shared") / (F.size("x") + F.size("y") - F.col("shared")))
-    return both.where((F.col("shared") >= least_shared) & (F.col("jaccard") >= least_jaccard)).select("a", "b", "shared", "jaccard")
+    """token_overlap of the pairs with that many shared tokens and that similarity, counted in blocks of both sides."""
+    sides = [f.select(n, R.focus_terms(F.col("text")).alias("t")).where(F.size("t") >= least_shared) for f, n in ((a, "a"), (b, "b"))]
+    return overlaps.similar(*sides, least_shared, least_jaccard)
 
 
 def similar_answers(questions: DataFrame, known: DataFrame) -> DataFrame:
@@ -81,12 +68,11 @@ def similar_answers(questions: DataFrame, known: DataFrame) -> DataFrame:
 def hint_urls(questions: DataFrame, known: DataFrame, k: int = 3) -> DataFrame:
     """(q, url, score, rank) of the pages of the most similar known questions (question, url, ord).
 
-    Two shared tokens are enough, so all pairs with a common token meet: known questions are a list, not a corpus.
+    Two shared tokens are enough, so all pairs are counted, in blocks; only the k best pages of a question leave a block.
     """
-    met = token_overlap(questions.select(F.col("q").alias("a"), "text"), known.select(F.col("ord").alias("b"), F.col("question").alias("text")))
-    met = met.withColumn("score", F.round(F.col("shared") + 2.0 * F.col("jaccard"), 6)).where(F.col("score") >= MIN_HINT)
-    met = met.join(known.select(F.col("ord").alias("b"), "url"), "b").withColumn("key", U.key(F.col("url")))
-    best = met.groupBy("a", "key").agg(F.max(F.struct("score", "url")).alias("m"))
+    asked = questions.select(F.col("q").alias("a"), R.focus_terms(F.col("text")).alias("t")).where(F.size("t") > 0)
+    told = known.select(F.col("ord").alias("b"), R.focus_terms(F.col("question")).alias("t"), "url", U.key(F.col("url")).alias("key")).where((F.size("t") > 0) & F.col("url").isNotNull())
+    best = overlaps.best_pages(asked, told, k, MIN_HINT).groupBy("a", "key").agg(F.max(F.struct("score", "url")).alias("m"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("m.score"), F.desc("m.url")))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("a").alias("q"), "m.url", "m.score", "rank")
 

@@ -381,3 +381,38 @@ def test_page_injection_meets_no_pair_without_a_value(spark):
     base_, bonus_ = frame(base, "q long, ord long, score double"), frame(bonus, "q long, ord long, bonus double")
     got = retrieve.page_injection(frame(pages, "q long, url string, score double, rank int"), chunks, base_, bonus_, frame(present, "q long, ord long"))
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("n", [9, 1500])
+def test_hints_equal_the_best_of_all_pairs(spark, n):
+    rng = random.Random(7)
+    text = lambda: " ".join(f"t{min(rng.randrange(90), rng.randrange(90))}" for _ in range(rng.randint(0, 9)))
+    known = [(i, text(), f"u{i % (n // 3)}" + "/" * (i % 2)) for i in range(n)]
+    asked = [(q, text()) for q in range(530)]
+    want = []
+    for q, a in asked:
+        best = {}
+        for _, b, url in known:
+            x, y = set(a.split()), set(b.split())
+            if x & y and (score := round(len(x & y) + 2 * len(x & y) / len(x | y), 6)) >= 2:
+                key = url.rstrip("/")
+                best[key] = max(best.get(key, (0, "")), (score, url))
+        want += [(q, url, score, r + 1) for r, (score, url) in enumerate(sorted(best.values(), reverse=True)[:3])]
+    got = knowledge.hint_urls(spark.createDataFrame(asked, "q long, text string"), spark.createDataFrame(known, "ord long, question string, url string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # no pair of questions by a common token is dealt out
+    assert "Generate explode(t" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similar_questions_are_counted_in_blocks(spark):
+    rng = random.Random(8)
+    sets = [sorted(rng.sample(range(30), rng.choice((4, 6, 8, 20)))) for _ in range(700)]
+    a = spark.createDataFrame([(i, " ".join(f"w{x}" for x in s)) for i, s in enumerate(sets)], "q long, text string")
+    known = spark.createDataFrame([(i, " ".join(f"w{x}" for x in (*s[1:], i % 30))) for i, s in enumerate(sets)], "ord long, question string")
+    theirs = [{*s[1:], i % 30} for i, s in enumerate(sets)]
+    text = lambda items: [f"w{x}" for x in items]
+    like = lambda b, s: len(b & s) >= 5 and len(b & s) / len(b | s) >= 0.68
+    leaked = {i for i, b in enumerate(theirs) if any(like(b, set(s)) or text((*sets[i][1:], i % 30)) == text(s) for s in sets)}
+    got = knowledge.without_leaks(known, a)
+    assert {r["ord"] for r in got.where("leaked").collect()} == leaked and 0 < len(leaked) < 700
+    assert "Generate explode(t" not in got._jdf.queryExecution().optimizedPlan().toString()
