@@ -416,3 +416,21 @@ def test_similar_questions_are_counted_in_blocks(spark):
     got = knowledge.without_leaks(known, a)
     assert {r["ord"] for r in got.where("leaked").collect()} == leaked and 0 < len(leaked) < 700
     assert "Generate explode(t" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_best_chunk_of_a_page_by_bonus_is_among_the_first_of_each_kind(spark):
+    rng = random.Random(9)
+    words = ("alpha", "beta", "xbeta", "gamma", "betas", "delta.", "Ada Byron", "office", "room", "a@b.org", "dean", "510 642 1234", "archive", "é", "Foo Hall", "-beta", "gamma-")
+    rows = [(o, f"https://www2.x.org/{('people', 'news', 'contact')[o % 3]}/p{o % 3}", f"Page {o % 2}" if o % 5 else "Ada Byron", " ".join(rng.choice(words) for _ in range(rng.randrange(9)))) for o in range(240)]
+    docs = spark.createDataFrame(rows, "ord long, url string, title string, text string")
+    docs = docs.withColumn("retrieval", index.retrieval_text(F.col("url"), F.col("title"), F.col("text")))
+    asked = ("Who is Ada Byron, dean of alpha beta gamma?", "What email has the office of beta gamma delta?", "Where is the room of alpha beta?", "alpha beta gamma delta", "When was the archive date of gamma delta beta?", "the of")
+    about = spark.createDataFrame(list(enumerate(asked)), "q long, text string").select("q", retrieve.question_features(F.col("text")).alias("asked"))
+    pages = about.select("q").crossJoin(docs.select("url").distinct()).where("q <> 3 or url like '%news%'")
+    value = docs.join(pages, "url").join(about, "q").select("q", "url", "ord", retrieve.boost(F.col("asked"), F.col("title"), F.col("url"), F.col("text"), F.col("retrieval")).alias("bonus"))
+    best = {}
+    for r in value.collect():
+        best[r["q"], r["url"]] = max(best.get((r["q"], r["url"]), (-9, 0)), (r["bonus"], -r["ord"]))
+    got = {(r["q"], r["ord"]) for r in retrieve.worth_a_bonus(docs, about, pages).collect()}
+    assert len(best) == 16 and all((q, -o) in got for (q, _), (_, o) in best.items())
+    assert len(got) < value.count() / 2
