@@ -116,7 +116,7 @@ def clean(spark: SparkSession, args: argparse.Namespace) -> None:
     chunks = corpus.sentence_chunks(documents)
     files.write_jsonl(documents, args.documents)
     files.write_jsonl(chunks, args.chunks)
-    _show(corpus.cleaning_stats(raw, documents, chunks))
+    _show(corpus.cleaning_stats(raw, documents))
 
 
 def worklist(spark: SparkSession, args: argparse.Namespace) -> None:

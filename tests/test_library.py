@@ -434,3 +434,16 @@ def test_the_best_chunk_of_a_page_by_bonus_is_among_the_first_of_each_kind(spark
     got = {(r["q"], r["ord"]) for r in retrieve.worth_a_bonus(docs, about, pages).collect()}
     assert len(best) == 16 and all((q, -o) in got for (q, _), (_, o) in best.items())
     assert len(got) < value.count() / 2
+
+
+def test_texts_are_cleaned_once(spark):
+    long = "The first sentence has words. Home is where it is! READ MORE of it now? menu"
+    odd = documents("", None, long, long + " " + long.lower() + " Four more words here. Menu. One two. A b c.", "x" * 79, "x y z " * 14, "Directory " * 9, "a.b@c.org 5106421234567. Home\n. In this page " + "w " * 50)
+    assert differences_from_sql(spark, "clean_docs", documents=odd) == ([], [])
+    rows = spark.createDataFrame(*odd).select(F.col("doc_id").alias("ord"), F.lit("u/a-b").alias("url"), "text")
+    clean = corpus.clean_documents(rows)
+    # sorting for repeats and back again
+    assert clean._jdf.queryExecution().optimizedPlan().toString().count("array_sort(") == 2
+    chunks = corpus.sentence_chunks(clean)
+    assert corpus.cleaning_stats(rows, clean).first().asDict() == {"raw_documents": 8, "clean_documents": clean.count(), "chunks": chunks.count()}
+    assert {r["title"] for r in clean.collect()} >= {"The first sentence has words.", "A B"}
