@@ -437,8 +437,8 @@ def test_the_best_chunk_of_a_page_by_bonus_is_among_the_first_of_each_kind(spark
 
 
 def test_texts_are_cleaned_once(spark):
-    long = "The first sentence has words. Home is where it is! READ MORE of it now? menu"
-    odd = documents("", None, long, long + " " + long.lower() + " Four more words here. Menu. One two. A b c.", "x" * 79, "x y z " * 14, "Directory " * 9, "a.b@c.org 5106421234567. Home\n. In this page " + "w " * 50)
+    long = "The first sentence has words. Home is where it is, and so on! READ MORE of it now? menu"
+    odd = documents("", None, long, long + " " + long.lower() + ". Four more words here, and then some more of them to come. Menu. One two. A b c.", "x" * 79, "x y z " * 14, "Directory " * 9, "a.b@c.org 5106421234567. Home\n. In this page " + "w " * 50)
     assert differences_from_sql(spark, "clean_docs", documents=odd) == ([], [])
     rows = spark.createDataFrame(*odd).select(F.col("doc_id").alias("ord"), F.lit("u/a-b").alias("url"), "text")
     clean = corpus.clean_documents(rows)
